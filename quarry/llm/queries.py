@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe
+from quarry.llm import bpe, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,34 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLES["op9_substrings"] = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS seq
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)
+), rep AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY seq) AS n FROM s) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM rep
+), each AS (
+  SELECT w.doc_id, t.k, w.ws[t.k] AS word, g.k IS NOT NULL AS off
+  FROM w, unnest(range(1, len(w.ws) + 1)) AS t(k) LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.k = t.k
+)
+SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(coalesce(e.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(e.kept, '')) AS kept_sha256
+FROM w LEFT JOIN (
+  SELECT doc_id, count(*) FILTER (WHERE off) AS n, string_agg(word, ' ' ORDER BY k) FILTER (WHERE NOT off) AS kept
+  FROM each GROUP BY doc_id) e ON e.doc_id = w.doc_id
+"""
+
+
 @query
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe_path(), decoded="decoded")
