@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, contamination, forest, substrings
+from quarry.llm import bpe, contamination, forest, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,6 +71,21 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+#: Grades of the labels table: 2 for good quality and not toxic, 1 if one of them fails, 0 if both do.
+GRADE, GRADES = F.col("quality") + 1 - F.col("toxic"), 3
+
+
+def quality_scores(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFrame:
+    return quality.score(docs, quality.train(labelled, labels, GRADE, GRADES))
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = quality_scores(docs, docs, table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", "expected_grade", "top_probability", (F.col("top_probability") >= quality.KEEP).alias("kept"))
+
+
 @query
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(table(spark, sf_dir, "documents"))
