@@ -34,6 +34,8 @@ BUCKETS = 1 << 15
 AROUND, PER_KIND, STEPS, RATE, PENALTY = 12, 600, 60, 0.1, 1e-4
 MEMO_TOKENS = 250_000
 OUT, BEGIN, INSIDE = 0, 1, 2
+#: Characters that a span of the field has at least, as the patterns ask for too.
+LEAST = 12
 
 #: The patterns, each with the least length of what counts (fixed values of the contract).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -44,6 +46,7 @@ _HEX_MARKS = bytes(120 if c in b"0123456789abcdef" else 32 for c in range(256))
 
 SPANS = "array<struct<kind: string, start: int, end: int>>"
 _NO_WORD = ""
+_MARKS = ".,;:!?()[]{}<>*#%&$|\"'-\u2026\u00ab\u00bb"
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -70,8 +73,9 @@ def _shape(token: str) -> str:
 
 
 def _own(token: str) -> list[str]:
-    if token.isalpha() and len(token) < 20 and (token.islower() or token.istitle()):
-        return ["plain", f"n{len(token) // 4}"]
+    word = token.strip(_MARKS)
+    if word.isalpha() and (word.islower() or word.istitle() or word.isupper()):
+        return ["plain", f"plain{min(len(word), 60) // 10}"]
     digits, upper = sum(map(str.isdigit, token)), sum(map(str.isupper, token))
     letters = sum(map(str.isalpha, token))
     few = token[:64]
@@ -84,7 +88,7 @@ def _own(token: str) -> list[str]:
 
 
 def _beside(token: str) -> list[str]:
-    plain = token.isalpha()
+    plain = token.strip(_MARKS).isalpha()
     return [f"word={token.lower()[:24]}" if plain or len(token) <= 3 else "noword", "plain" if plain else f"shape={_shape(token)}", "ends" + (token[-1:] if token[-1:] in "=:\"'" else "")]
 
 
@@ -178,7 +182,7 @@ class Tagger:
         return tags
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
-        """Spans of tokens tagged B and I."""
+        """Spans of tokens tagged B and I, of LEAST characters at least."""
         tags = self.tags(text.split(), file_features(text))
         if not tags.any():
             return []
@@ -189,7 +193,7 @@ class Tagger:
                 out[-1] = ("crf", out[-1][1], end)
             else:
                 out.append(("crf", start, end))
-        return out
+        return [s for s in out if s[2] - s[1] >= LEAST]
 
     def all_spans(self, text: str | None) -> list[tuple[str, int, int]]:
         """The patterns' spans, and the field's that touch none of them, by start, then kind as listed."""
@@ -223,6 +227,30 @@ def _invented(rng: np.random.Generator) -> list[str]:
     return ([f"{key}={quote}{value}{quote}"], [key, "=", f"{quote}{value}{quote}"], [f"{key}:", f"{quote}{value}{quote}"], [f"{key}_live_{value}"], [value])[rng.integers(5)]
 
 
+def _ordinary(rng: np.random.Generator) -> list[str]:
+    """A token that looks unlike prose and is no secret: an address, a path, a number, a date, a version, a code."""
+    word = lambda: "".join(rng.choice(list(string.ascii_lowercase), int(rng.integers(2, 9))))
+    number = lambda n: "".join(rng.choice(list(string.digits), n))
+    kind = int(rng.integers(9))
+    if kind == 0:
+        return [f"{word()}.{word()}{number(int(rng.integers(3)))}@{word()}.{('com', 'org', 'net')[rng.integers(3)]}"]
+    if kind == 1:
+        return [f"https://{('www.', '')[rng.integers(2)]}{word()}.com/{word()}/{word()}-{word()}{('.html', '?id=' + number(4), '')[rng.integers(3)]}"]
+    if kind == 2:
+        return [f"+{number(1)}", f"({number(3)})", f"{number(3)}-{number(4)}"]
+    if kind == 3:
+        return [number(int(rng.integers(1, 17)))]
+    if kind == 4:
+        return [f"{number(4)}-{number(2)}-{number(2)}"]
+    if kind == 5:
+        return [".".join(number(int(rng.integers(1, 4))) for _ in range(int(rng.integers(2, 5))))]
+    if kind == 6:
+        return [f"/{word()}/{word()}/{word()}.{word()[:3]}"]
+    if kind == 7:
+        return [f"{word()[:3].upper()}-{word()[:3].upper()}{('', number(2))[rng.integers(2)]}"]
+    return [f"{word().upper()}{word()}", f"{word()}_{word()}"]
+
+
 def fit(windows: list[tuple[list[str], list[int], list[str]]]) -> Field:
     """windows: tokens, tags and file features. Maximises the conditional likelihood, by full gradients."""
     if not windows:
@@ -279,8 +307,8 @@ def fit(windows: list[tuple[list[str], list[int], list[str]]]) -> Field:
 
 
 def train(df: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Field:
-    """Fit on windows from the first sample rows by a hash of their id: up to PER_KIND around what the patterns find, as
-    many without it, and those once more with an invented secret. At most one window a document reaches the driver."""
+    """Fit on windows from the first sample rows by a hash of their id: up to PER_KIND around what the patterns find, twice as
+    many without it, and those once more with an invented secret and with an invented token that is none. At most one window a document reaches the driver."""
     chosen = F.broadcast(df.select(F.col(id).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample))
     some = df.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL").join(chosen, "id")
 
@@ -294,10 +322,12 @@ def train(df: DataFrame, id: str = "doc_id", text: str = "text", sample: int = S
                 place = xxhash.xxh3_64_intdigest(text.encode())
                 if hit := [i for i, t in enumerate(tags) if t == BEGIN]:
                     at = hit[place % len(hit)]
-                elif place % 16:
+                elif place % 4 > 1:
                     continue  # texts without are many; their share of the sample is enough
+                elif place % 4:
+                    at = max(range(len(tokens)), key=lambda k: len(tokens[k]))  # what most looks like a secret and is none
                 else:
-                    at = place // 16 % len(tokens)
+                    at = place // 4 % len(tokens)
                 i, j = max(0, at - AROUND), at + AROUND
                 out.append((place % (1 << 62), bool(hit), tokens[i:j], tags[i:j], file_features(text)))
             columns = list(zip(*out, strict=True)) or [[]] * 5
@@ -307,11 +337,13 @@ def train(df: DataFrame, id: str = "doc_id", text: str = "text", sample: int = S
     found = some.mapInArrow(run, "place long, hit boolean, tokens array<string>, tags array<int>, file array<string>")
     found = found.groupBy("hit", "place").agg(*[F.min(c).alias(c) for c in ("tokens", "tags", "file")])
     own = [tuple(x) for x in found.where("hit").orderBy("place", "tokens").limit(PER_KIND).select("tokens", "tags", "file").collect()]
-    none = [tuple(x) for x in found.where("NOT hit").orderBy("place", "tokens").limit(PER_KIND).select("tokens", "tags", "file").collect()]
+    none = [tuple(x) for x in found.where("NOT hit").orderBy("place", "tokens").limit(2 * PER_KIND).select("tokens", "tags", "file").collect()]
     rng, more = np.random.default_rng(11), []
-    for tokens, tags, file in none[: PER_KIND // 2]:
+    for tokens, tags, file in none[:PER_KIND]:
         at, secret = int(rng.integers(len(tokens) + 1)), _invented(rng)
         more.append((tokens[:at] + secret + tokens[at:], tags[:at] + [BEGIN] + [INSIDE] * (len(secret) - 1) + tags[at:], file))
+        other = _ordinary(rng)
+        more.append((tokens[:at] + other + tokens[at:], tags[:at] + [OUT] * len(other) + tags[at:], file))
     return fit(own + none + more)
 
 
