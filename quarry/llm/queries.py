@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, contamination, forest, quality, secrets, substrings
+from quarry.llm import bpe, chat, contamination, forest, neighbours, quality, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,6 +71,30 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+@query
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op3_embeddings"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)) >= 0.95
+), reach(vec_id, r) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.vec_id, links.j FROM reach JOIN links ON links.i = reach.r
+), root AS (
+  SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id
+), n AS (
+  SELECT i AS vec_id, count(*) AS k FROM links GROUP BY i
+)
+SELECT vec_id, CAST(coalesce(n.k, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM root LEFT JOIN n USING (vec_id)
+"""
+
+
 #: Grades of the labels table: 2 for good quality and not toxic, 1 if one of them fails, 0 if both do.
 GRADE, GRADES = F.col("quality") + 1 - F.col("toxic"), 3
 
