@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, contamination, forest, neighbours, quality, secrets, substrings
+from quarry.llm import bpe, chat, contamination, counts, forest, neighbours, quality, secrets, substrings
+from quarry.llm.common import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,6 +96,17 @@ FROM root LEFT JOIN n USING (vec_id)
 """
 
 
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after two edits of each document: words put in after a third of it, and ten characters taken
+    out after two thirds."""
+    trees = staged(counts.build(table(spark, sf_dir, "documents").select("doc_id", "text"), bpe_path()), "trees")
+    third = F.floor(F.coalesce(F.char_length("text"), F.lit(0)) / 3).cast("int")
+    edit = lambda start, deleted, inserted: F.struct(start.alias("start"), F.lit(deleted).alias("deleted"), F.lit(inserted).alias("inserted"))
+    edited = counts.apply_edits(trees.withColumn("edits", F.array(edit(third, 0, " as noted on page 12, "), edit(2 * third, 10, ""))).withColumnRenamed("token_sums", "before").withColumn("token_sums", F.col("before")), bpe_path())
+    return edited.select("doc_id", counts.n_tokens("before").alias("n_tokens_before"), counts.n_tokens().alias("n_tokens"), F.char_length("text").cast("long").alias("n_chars"), "encoded_chars")
+
+
 #: Grades of the labels table: 2 for good quality and not toxic, 1 if one of them fails, 0 if both do.
 GRADE, GRADES = F.col("quality") + 1 - F.col("toxic"), 3
 
