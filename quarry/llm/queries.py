@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, contamination, counts, forest, neighbours, quality, secrets, substrings
+from quarry.llm import bpe, chat, contamination, counts, forest, licenses, neighbours, quality, secrets, substrings
 from quarry.llm.common import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,44 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+@query
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.templates(spark))
+
+
+ORACLES["op2_licenses"] = (
+    r"""
+WITH given(license, text) AS (VALUES """
+    + ", ".join("('%s', '%s')" % (k, v.replace("'", "''")) for k, v in sorted(licenses.TEMPLATES.items()))
+    + r"""), w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents
+), t AS (
+  SELECT license, list_filter(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM given
+), tr AS (
+  SELECT DISTINCT license, array_to_string(ws[i:i + 4], ' ') AS run FROM (SELECT license, ws, unnest(range(1, len(ws) - 3)) AS i FROM t)
+), size AS (
+  SELECT t.license, greatest(1, (len(any_value(ws)) - 4) // 4) AS s, len(any_value(ws)) + greatest(1, (len(any_value(ws)) - 4) // 4) - 5 AS held, count(*) AS n
+  FROM t JOIN tr USING (license) GROUP BY t.license
+), dr AS (
+  SELECT doc_id, i - 1 AS pos, array_to_string(ws[i:i + 4], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
+), hit AS (
+  SELECT dr.doc_id, tr.license, dr.pos, dr.run FROM dr JOIN tr USING (run)
+), win AS (
+  SELECT DISTINCT hit.doc_id, hit.license, s, held, n, hit.run, unnest(range(greatest(0, CAST(ceil((pos - held + 1) / s) AS BIGINT)), pos // s + 1)) AS k
+  FROM hit JOIN size USING (license)
+), share AS (
+  SELECT doc_id, license, k * s AS start, count(DISTINCT run) / any_value(n) AS c FROM win GROUP BY doc_id, license, k, s
+)
+SELECT doc_id, license, count(*) AS n_windows, round(max(c), 6) AS containment, CAST(min(start) AS BIGINT) AS first_word
+FROM share WHERE c >= 0.8 GROUP BY doc_id, license
+"""
+)
+
+
 @query
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
