@@ -3,7 +3,8 @@
 Every distinct shingle set gets a label of DEPTH minhash values in each of TREES orders. A region is a common prefix
 of labels in one tree, from FLOOR values on. In each tree a set's candidate is the least member of the deepest region
 that it shares with a lesser one, so dense regions (thousands of near copies) are entered only by deep prefixes and
-candidates stay linear in the number of sets. Candidates are confirmed on full sets; what they do not link, though it
+candidates stay linear in the number of sets. Sets whose own shingles, which no other set has, already rule out any
+link are left out first: of thousands of copies, those with many edits. Candidates are confirmed on full sets; what they do not link, though it
 shares a region with other components, is then compared within that region, at a greater depth where a region is
 crowded, down to DEPTH. Two sets of similarity 0.85 share no prefix of FLOOR values in any tree with a probability
 below 1e-8, and none of DEPTH values with one below 1e-4.
@@ -28,6 +29,8 @@ from quarry.llm.common import bounded, components, drop, staged
 TREES, DEPTH, FLOOR = 32, 8, 5
 #: Members of different components up to which a region is compared as it is; beyond, it is parted by deeper prefixes.
 CROWDED = 64
+#: Sets up to which a shingle is rare: such shingles are compared one by one where the rest cannot decide.
+RARE = 20
 
 _FACTORS = (np.random.default_rng(20240229).integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 
@@ -99,22 +102,25 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width
     sets_of = described.where("n > 0 AND id IS NOT NULL").groupBy("same").agg(F.min("id").alias("rep"), F.first("label").alias("label"), F.count("*").alias("copies"))
     classes = staged(sets_of, "classes")
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.element_at("label", 2 * t + 1).alias("hi"), F.element_at("label", 2 * t + 2).alias("lo")))
-    every = classes.select("rep", F.explode(trees).alias("x")).select("rep", "x.*")
-    shared = every.groupBy(*_region(FLOOR)).agg(F.min("rep").alias("least"), F.count("*").alias("members")).where("members > 1")
-    forest = staged(every.withColumn("part", _region(FLOOR)[2]).join(shared.withColumnRenamed("part", "p").withColumnRenamed("hi", "h").withColumnRenamed("tree", "t"), F.expr("tree = t AND hi = h AND part = p")).select("rep", "tree", "hi", "lo", "least"), "forest")
+    every = classes.select("rep", F.explode(trees).alias("x")).select("rep", "x.*").withColumn("part", _region(FLOOR)[2])
+    shared = every.groupBy("tree", "hi", "part").agg(F.count("*").alias("members")).where("members > 1").drop("members")
+    met = staged(every.join(shared, ["tree", "hi", "part"]).select("rep", "tree", "hi", "lo"), "forest")
+
+    involved, _ = bounded(met.select(F.col("rep").alias("id")).distinct())
+    texts = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
+    sets = staged(_sets(texts.join(involved, "id", "left_semi"), width), "sets")
+    facts = staged(_linkable(sets, percent), "facts")
+    forest = staged(met.join(facts.select("rep"), "rep"), "forest")
+    drop(met)
 
     # the least member of the deepest region in which there is a lesser one
-    found = forest.withColumnRenamed("least", f"at_{FLOOR}")
-    for depth in range(FLOOR + 1, DEPTH + 1):
+    found = forest
+    for depth in range(FLOOR, DEPTH + 1):
         least = forest.groupBy(*_region(depth)).agg(F.min("rep").alias(f"at_{depth}"))
         found = found.withColumn("part", _region(depth)[2]).join(least, ["tree", "hi", "part"]).drop("part")
     other = F.coalesce(*[F.when(F.col(f"at_{d}") < F.col("rep"), F.col(f"at_{d}")) for d in range(DEPTH, FLOOR - 1, -1)])
     candidates = staged(found.select(F.col("rep").alias("b"), other.alias("a")).where("a IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("trees")), "candidates")
 
-    involved, _ = bounded(forest.select(F.col("rep").alias("id")).distinct())
-    texts = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
-    sets = staged(_sets(texts.join(involved, "id", "left_semi"), width), "sets")
-
     best = candidates.groupBy("b").agg(F.max_by("a", F.struct("trees", -F.col("a"))).alias("a"))
     links = staged(_confirmed(best, sets, percent), "links")
     roots = staged(components(links), "roots")
@@ -123,10 +129,10 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width
     links = links.unionByName(staged(_confirmed(rest, sets, percent), "links"))
     roots = staged(components(links), "roots")
 
-    rest = _within_regions(forest, roots).join(candidates.select("a", "b"), ["a", "b"], "left_anti")
+    rest = _within_regions(forest, facts, roots, percent).join(candidates.select("a", "b"), ["a", "b"], "left_anti")
     links = links.unionByName(staged(_confirmed(rest, sets, percent), "links"))
     roots = components(links)
-    drop(forest, candidates, sets)
+    drop(forest, facts, candidates, sets)
 
     of_class = classes.select("same", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("same", F.coalesce("component_id", "rep").alias("root"))
     out = described.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("same")).alias("same")).join(of_class, "same", "left")
@@ -144,21 +150,38 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return with_roots.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
-def _within_regions(forest: DataFrame, roots: DataFrame) -> DataFrame:
+def _linkable(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, n, common, rare): the size of each set, how many of its shingles more than RARE sets have, and the others
+    that it shares. A set that shares too few for any link is left out: shingles of its own count in the union and in
+    no intersection."""
+    each = sets.select("id", F.explode("own").alias("s"))
+    counts = each.groupBy("s").agg(F.count("*").alias("sets"), F.min("id").alias("least")).where(F.col("sets") <= RARE)
+    alone = counts.where("sets = 1").groupBy(F.col("least").alias("id")).agg(F.count("*").alias("alone"))
+    rare = each.join(counts.where("sets > 1").select("s"), "s").groupBy("id").agg(F.collect_list("s").alias("rare"))
+    facts = sets.select("id", F.size("own").alias("n")).join(alone, "id", "left").join(rare, "id", "left")
+    facts = facts.select(F.col("id").alias("rep"), "n", F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("rare", F.array().cast("array<long>")).alias("rare"))
+    able = facts.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
+    return able.select("rep", "n", (F.col("n") - F.col("alone") - F.size("rare")).alias("common"), "rare")
+
+
+def _within_regions(forest: DataFrame, facts: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a region, each region at the least depth at which it is not crowded.
 
     Of the members of a region only those outside its largest component are joined with all others, so that one large
-    component and a few strangers make few pairs."""
+    component and a few strangers make few pairs; and only where the common shingles and the rare ones that both have
+    suffice for a link."""
+    most = F.least("common", "common_x") + F.size(F.array_intersect("rare", "rare_x"))
     left = forest.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "tree", "hi", "lo", F.coalesce("component_id", "rep").alias("of"))
     pairs = None
     for depth in range(FLOOR, DEPTH + 1):
         here = staged(left.withColumn("part", _region(depth)[2]), "region")
-        by_component = here.groupBy("tree", "hi", "part", "of").agg(F.count("*").alias("n"))
-        regions = by_component.groupBy("tree", "hi", "part").agg(F.max_by("of", F.struct("n", "of")).alias("largest"), F.sum("n").alias("members"), F.max("n").alias("most")).where("members > most")
+        by_component = here.groupBy("tree", "hi", "part", "of").agg(F.count("*").alias("k"))
+        regions = by_component.groupBy("tree", "hi", "part").agg(F.max_by("of", F.struct("k", "of")).alias("largest"), F.sum("k").alias("members"), F.max("k").alias("most")).where("members > most")
         known = here.join(regions, ["tree", "hi", "part"])
-        open_now = known if depth == DEPTH else known.where(F.col("members") - F.col("most") <= CROWDED)
-        strangers = open_now.where("of <> largest").select("tree", "hi", "part", F.col("rep").alias("x"), F.col("of").alias("of_x"))
-        met = open_now.join(strangers, ["tree", "hi", "part"]).where("of <> of_x").select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
+        open_now = (known if depth == DEPTH else known.where(F.col("members") - F.col("most") <= CROWDED)).join(facts, "rep")
+        strangers = open_now.where("of <> largest").select("tree", "hi", "part", F.col("rep").alias("x"), F.col("of").alias("of_x"), F.col("n").alias("n_x"), F.col("common").alias("common_x"), F.col("rare").alias("rare_x"))
+        able = 100 * most >= percent * (F.col("n") + F.col("n_x") - most)
+        met = open_now.join(strangers, ["tree", "hi", "part"]).where((F.col("of") != F.col("of_x")) & able).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
         pairs = met if pairs is None else pairs.unionByName(met)
         if depth < DEPTH:
             left = known.where(F.col("members") - F.col("most") > CROWDED).select("rep", "tree", "hi", "lo", "of")
