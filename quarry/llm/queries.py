@@ -146,11 +146,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Grades of the labels table: 2 for good quality and not toxic, 1 if one of them fails, 0 if both do.
-GRADE, GRADES = F.col("quality") + 1 - F.col("toxic"), 3
+GRADE, GRADES = "quality + 1 - toxic", 3
 
 
 def quality_scores(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFrame:
-    return quality.score(docs, quality.train(labelled, labels, GRADE, GRADES))
+    return quality.score(docs, quality.train(labelled, labels, F.expr(GRADE), GRADES))
 
 
 @query
