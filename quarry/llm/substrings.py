@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from quarry.llm import words as W
 from quarry.llm.common import shared_root, staged
 
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 #: Spark's own limit for buckets; beyond that many blocks they grow with the input.
 MOST_BLOCKS = 100_000
 #: Cells of a lane for each byte of text, about four for each window; merged ranges have this many cells, a power of two.
