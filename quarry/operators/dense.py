@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.functions import text as X
 
@@ -39,6 +40,7 @@ def search(queries: DataFrame, corpus: DataFrame, n: int = 40, query_id: str = "
     out, block = None, []
     own = corpus.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
     q_type, id_type = queries.schema[query_id].dataType, corpus.schema[id].dataType
+    kinds = to_arrow_type(q_type), to_arrow_type(id_type)
     schema = f"query_id {q_type.simpleString()}, id {id_type.simpleString()}, score double"
 
     def pass_over(block: list) -> DataFrame:
@@ -56,7 +58,7 @@ def search(queries: DataFrame, corpus: DataFrame, n: int = 40, query_id: str = "
                 by_id = np.argsort(ids, kind="stable")
                 for i, row in enumerate(scores):
                     best = by_id[np.argsort(-row[by_id], kind="stable")[:n]]
-                    yield pa.RecordBatch.from_pydict({"query_id": [keys[i]] * len(best), "id": ids[best].tolist(), "score": row[best]})
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[i]] * len(best), kinds[0]), pa.array(ids[best].tolist(), kinds[1]), pa.array(row[best])], names=["query_id", "id", "score"])
 
         return own.mapInArrow(run, schema)
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.shared import ensure_checkpoint_dir
+
 INVERSE = {"contains": "contained_by", "calls": "called_by", "imports": "imported_by"}
 
 
@@ -153,10 +155,16 @@ def pagerank(seeds: DataFrame, edges: DataFrame, nodes: DataFrame | None = None,
     reaches a node without neighbours is lost. All queries walk at once.
 
     With a frontier only the seeds and that many best nodes of a query go on; with settle the walk ends when the
-    scores of no query change by that much in all. Each round is written to the checkpoint folder if asked for."""
+    scores of no query change by that much in all. Each round is written to the checkpoint folder, unless the walk is a
+    few rounds that make one plan."""
     pairs = adjacency(edges, nodes).select("a", "b").distinct()
     degree = pairs.groupBy("a").agg(F.count("*").alias("degree"))
     ways = pairs.join(degree, "a")
+    if checkpoint:
+        ensure_checkpoint_dir(edges.sparkSession)
+        ways = ways.checkpoint()
+    elif settle is not None:
+        raise ValueError("a walk that ends by itself needs checkpoints: without them every round runs all before it again")
     own = seeds.select("query_id", "id").distinct()
     if nodes is not None:
         own = own.join(nodes.select("id"), "id", "left_semi").select("query_id", "id")
@@ -170,7 +178,7 @@ def pagerank(seeds: DataFrame, edges: DataFrame, nodes: DataFrame | None = None,
             rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
             kept = new.withColumn("r", rank).join(own.withColumn("seed", F.lit(True)), ["query_id", "id"], "left")
             new = kept.where((F.col("r") <= frontier) | F.coalesce("seed", F.lit(False))).select("query_id", "id", "score")
-        if checkpoint and (i % 5 == 4 or settle is not None):
+        if checkpoint:
             new = new.checkpoint()
         if settle is not None:
             change = new.withColumnRenamed("score", "s1").join(score.withColumnRenamed("score", "s0"), ["query_id", "id"], "full").groupBy("query_id").agg(F.sum(F.abs(F.coalesce("s1", F.lit(0.0)) - F.coalesce("s0", F.lit(0.0)))).alias("d")).agg(F.max("d")).first()[0]
