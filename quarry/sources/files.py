@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import re
 import subprocess
 
@@ -82,6 +81,22 @@ def small_text(content: Column, max_bytes: int = MAX_BYTES, max_lines: int = MAX
     return (F.octet_length(content) <= max_bytes) & ~binary & (n_lines(text) <= max_lines)
 
 
+def _part(glob: str) -> str:
+    """A regular expression of one part of a path, where * and ? stop at a slash."""
+    out, i = [], 0
+    while i < len(glob):
+        c = glob[i]
+        if c == "[" and "]" in glob[i + 2 :]:
+            end = glob.index("]", i + 2)
+            own = glob[i + 1 : end]
+            out.append("[" + ("^" + own[1:] if own[0] in "!^" else own).replace("\\", "\\\\") + "]")
+            i = end
+        else:
+            out.append({"*": "[^/]*", "?": "[^/]"}.get(c) or re.escape(c))
+        i += 1
+    return "".join(out)
+
+
 def ignore_regex(lines: list[str]) -> list[tuple[bool, str]]:
     """(ignored, regular expression of paths) for the patterns of an ignore file, of which the last that matches counts."""
     out = []
@@ -94,8 +109,7 @@ def ignore_regex(lines: list[str]) -> list[tuple[bool, str]]:
         rooted = "/" in line.rstrip("/")
         only_dir = line.endswith("/")
         parts = line.strip("/").split("/")
-        body = "/".join(".*" if p == "**" else re.sub(r"\\Z\)?$|\(\?s:|\)$|\\z$", "", fnmatch.translate(p)).replace(".*", "[^/]*") for p in parts)
-        body = body.replace(".*/", "(.*/)?")
+        body = "/".join(".*" if p == "**" else _part(p) for p in parts).replace(".*/", "(.*/)?")
         out.append((ignored, ("^" if rooted else "(^|/)") + body + ("/" if only_dir else "(/|$)")))
     return out
 
@@ -127,13 +141,22 @@ def scan(spark: SparkSession, root: str, languages: list[str] | None = None, max
     at = F.regexp_replace("path", "^[a-z]+:/*", "/")
     start = re.sub("^[a-z]+:/*", "/", root)
     named = files.where(F.col("length") <= max_bytes).select(F.substr(at, F.lit(len(start) + 2), F.char_length(at)).alias("file_path"), "content")
-    ignore = [r["value"] for r in spark.read.text(f"{root}/.gitignore").collect()] if _there(spark, f"{root}/.gitignore") else []
+    ignore = _lines(spark, f"{root}/.gitignore")
     return keep(named, languages, ignore, max_bytes, max_lines)
 
 
-def _there(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+def _lines(spark: SparkSession, path: str) -> list[str]:
+    """The lines of a small file, none if it is not there (Spark's own readers pass over names with a dot)."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    stream = fs.open(where)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+    finally:
+        stream.close()
 
 
 def revision(root: str) -> str | None:

@@ -12,7 +12,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def session(warehouse: str, cores: int = 2) -> SparkSession:
-    os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parents[1]}:{os.environ.get('PYTHONPATH', '')}"
+    here = Path(__file__).resolve()
+    os.environ["PYTHONPATH"] = f"{here.parents[1]}:{here.parent}:{os.environ.get('PYTHONPATH', '')}"
     s = (
         SparkSession.builder.master(f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", "4")
