@@ -38,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     command("graph-edit", index, a("--add-edge", nargs=2, action="append", default=[]), a("--remove-edge", nargs=2, action="append", default=[]), a("--type", choices=["calls", "imports", "contains"], default="calls"))
     command("update", a("repo_path"), index, a("--git", nargs=2))
     command("eval", index, a("--golden", required=True), a("--configs"), a("-k", type=int, default=5), a("--holdout", action="store_true"), a("--out", default="eval_runs"))
-    command("bench", a("data"), a("--suite", choices=["coderag", "codesearchnet"], default="coderag"), a("--mode", choices=["dense", "hybrid", "rerank"], default="hybrid"), a("-k", type=int, default=10))
+    command("bench", a("data"), a("--suite", choices=["passages", "codesearchnet"], default="passages"), a("--mode", choices=["dense", "hybrid", "rerank"], default="hybrid"), a("-k", type=int, default=10))
     command("scaffold", index, a("-n", type=int, default=55), a("--update"))
     command("stats", index)
     command("graph", index, a("--symbol"), a("--file"), a("--depth", type=int, default=1))

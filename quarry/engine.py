@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarry.operators import chunking, dense, graph, incremental, lexical, metrics
 from quarry.plans import evaluation, retrieval
 from quarry.settings import Settings
+from quarry.shared import ensure_checkpoint_dir
 from quarry.sources import files, records, store
 
 
@@ -189,7 +190,7 @@ class CodeIndex:
         return "\n".join(r["line"] for r in lines.orderBy("line_no").collect())
 
 
-def bench(spark: SparkSession, data: str, suite: str = "coderag", mode: str = "hybrid", k: int = 10, settings: Settings = Settings(), models: retrieval.Models = retrieval.Models()) -> dict:
+def bench(spark: SparkSession, data: str, suite: str = "passages", mode: str = "hybrid", k: int = 10, settings: Settings = Settings(), models: retrieval.Models = retrieval.Models()) -> dict:
     """Recall, MRR and nDCG of a benchmark file's queries over its documents."""
     if mode not in ("dense", "hybrid", "rerank"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -197,7 +198,8 @@ def bench(spark: SparkSession, data: str, suite: str = "coderag", mode: str = "h
         rows = records.code_pairs(spark, data).withColumnRenamed("code", "doc").withColumn("relevant_ids", F.array("id"))
     else:
         rows = records.bench(spark, data)
-    rows = rows.checkpoint() if spark.sparkContext.getCheckpointDir() else rows.cache()  # generated ids must stay
+    ensure_checkpoint_dir(spark)
+    rows = rows.checkpoint()  # generated ids must stay
     docs = rows.dropDuplicates(["id"]).select("id", F.col("doc").alias("embed_text"), F.col("doc").alias("code"), F.lit(None).cast("string").alias("context_header"))
     n = docs.count()
     own = settings.but(dense_top_n=n, bm25_top_n=n, fuse_top_n=n) if mode != "rerank" else settings.but(fuse_top_n=50, use_rerank=True)
