@@ -32,6 +32,7 @@ BUCKETS = 1 << 18
 SAMPLE = 20_000
 STEPS, RATE, PENALTY, SMOOTHING, LEAST_DOCS = 120, 0.05, 1e-3, 30.0, 5
 MEMO_WORDS = 300_000
+SLICE = 500_000
 #: Probability of the highest grade from which a document is kept.
 KEEP = 0.6
 
@@ -76,16 +77,26 @@ def fit(rows: list[tuple[int, np.ndarray]], grades: int) -> Model:
     thresholds = np.log(share / (1 - share))
     if len(rows) == 0 or (seen > 0).sum() < 2:
         return Model(np.zeros(BUCKETS), thresholds)
-    column = np.concatenate([b for _, b in rows]).astype(np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(b) for _, b in rows])
+    column = np.concatenate([b for _, b in rows]).astype(np.int32)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(b) for _, b in rows])
     docs = np.bincount(column, minlength=BUCKETS)
     top = y == y.max()
-    high = np.bincount(column[top[row]], minlength=BUCKETS)
+    high = np.zeros(BUCKETS, dtype=np.int64)
+    for g, b in rows:
+        if g == y.max():
+            high[b] += 1  # a row's buckets are distinct
     p = top.mean()
     ratio = np.log((high + SMOOTHING * p) / (docs - high + SMOOTHING * (1 - p))) - np.log(p / (1 - p))
     ratio[docs < min(LEAST_DOCS, 1 + len(rows) // 200)] = 0
     used = ratio[column] != 0
     column, row = column[used], row[used]
+    parts = [slice(i, i + SLICE) for i in range(0, len(column), SLICE)]  # sums go slice by slice, to need little memory
+
+    def summed(to: np.ndarray, values: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(size)
+        for part in parts:
+            out += np.bincount(to[part], weights=values[of[part]], minlength=size)
+        return out
 
     w, first, gaps = np.zeros(BUCKETS), thresholds[0], np.log(np.maximum(np.diff(thresholds), 0.1))
     x = np.concatenate([w, [first], gaps])
@@ -94,7 +105,7 @@ def fit(rows: list[tuple[int, np.ndarray]], grades: int) -> Model:
     n, k = len(rows), grades - 1
     for step in range(1, STEPS + 1):
         w, t = x[:BUCKETS], np.cumsum(np.concatenate([[x[BUCKETS]], np.exp(x[BUCKETS + 1 :])]))
-        s = np.bincount(row, weights=(w * ratio)[column], minlength=n)
+        s = summed(row, w * ratio, column, n)
         hi = np.where(y == k, 1.0, sigmoid(t[np.minimum(y, k - 1)] - s))
         lo = np.where(y == 0, 0.0, sigmoid(t[np.maximum(y - 1, 0)] - s))
         chance = np.maximum(hi - lo, 1e-12)
@@ -102,7 +113,7 @@ def fit(rows: list[tuple[int, np.ndarray]], grades: int) -> Model:
         ds = (dhi - dlo) / chance / n
         dt = np.array([(np.where(y == j + 1, dlo, 0) / chance - np.where(y == j, dhi, 0) / chance).sum() / n for j in range(k)])
         after = np.cumsum(dt[::-1])[::-1]
-        g = np.concatenate([ratio * np.bincount(column, weights=ds[row], minlength=BUCKETS) + PENALTY * w, [after[0]], after[1:] * np.exp(x[BUCKETS + 1 :])])
+        g = np.concatenate([ratio * summed(column, ds, row, BUCKETS) + PENALTY * w, [after[0]], after[1:] * np.exp(x[BUCKETS + 1 :])])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x = x - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
     return Model(x[:BUCKETS] * ratio, np.cumsum(np.concatenate([[x[BUCKETS]], np.exp(x[BUCKETS + 1 :])])))
@@ -119,8 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, grade, grades: int, id: str = "doc
             own = [np.unique(np.array([_bucket(f) for f in features(x)], dtype=np.int32)).tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("grade"), pa.array(own, pa.binary())], names=["id", "grade", "buckets"])
 
-    got = rated.mapInArrow(run, "id string, grade int, buckets binary").collect()  # at most sample rows
-    return fit([(r["grade"], np.frombuffer(r["buckets"], dtype=np.int32)) for r in sorted(got, key=lambda r: r["id"])], grades)
+    got = rated.mapInArrow(run, "id string, grade int, buckets binary").orderBy("id").toLocalIterator()  # at most sample rows
+    return fit([(r["grade"], np.frombuffer(bytes(r["buckets"]), dtype=np.int32)) for r in got], grades)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", expected: str = "expected_grade", tail: str = "top_probability") -> DataFrame:
