@@ -38,9 +38,9 @@ def c(x) -> Column:
 
 
 def token_len(s) -> Column:
-    """About four characters a token: 0 for the empty text, else 1 at least."""
+    """About four characters a token: 0 for the empty text, else 1 at least; null for null."""
     n = F.char_length(c(s))
-    return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 4))).cast("long")
+    return F.when(n == 0, 0).when(n > 0, F.greatest(F.lit(1), F.floor(n / 4))).cast("long")
 
 
 def code_tokens(s) -> Column:
@@ -64,23 +64,38 @@ def rstrip(s) -> Column:
     return F.regexp_replace(c(s), r"\s+\z", "")
 
 
+def let(value, use) -> Column:
+    """use(value), where the value is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim_to_query(code, query, max_tokens: int, pad: int = 6) -> Column:
     """Of a text over budget the first line and pad lines around each that shares a token with the query, gaps marked;
     whole if nothing matches or nothing is gained."""
-    code, lines, wanted = c(code), F.split(c(code), "\n"), F.array_distinct(code_tokens(query))
-    hit = F.filter(F.transform(lines, lambda ln, i: F.when(F.arrays_overlap(code_tokens(ln), wanted), i)), lambda i: i.isNotNull())
-    near = F.flatten(F.transform(hit, lambda i: F.sequence(F.greatest(i - pad, F.lit(0)), F.least(i + pad, F.size(lines) - 1))))
-    keep = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), near)))
-    parts = F.transform(keep, lambda i, k: F.concat(F.when((k > 0) & (i - F.get(keep, k - 1) > 1), F.lit(GAP_MARK + "\n")).otherwise(F.lit("")), F.get(lines, i)))
-    trimmed = F.array_join(parts, "\n")
-    return F.when((token_len(code) <= max_tokens) | (F.size(hit) <= 0), code).when(token_len(trimmed) < token_len(code), trimmed).otherwise(code)
+    code = c(code)
+
+    def kept(lines, hit):
+        near = F.flatten(F.transform(hit, lambda i: F.sequence(F.greatest(i - pad, F.lit(0)), F.least(i + pad, F.size(lines) - 1))))
+        return F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), near)))
+
+    def joined(lines, keep):
+        gap = lambda i, k: F.when((k > 0) & (i - F.get(keep, k - 1) > 1), F.lit(GAP_MARK + "\n")).otherwise(F.lit(""))
+        return F.array_join(F.transform(keep, lambda i, k: F.concat(gap(i, k), F.get(lines, i))), "\n")
+
+    def with_hits(lines, wanted):
+        at = F.transform(lines, lambda ln, i: F.when(F.arrays_overlap(code_tokens(ln), wanted), i))
+        return let(F.filter(at, lambda i: i.isNotNull()), lambda hit: F.when(F.size(hit) > 0, let(kept(lines, hit), lambda keep: joined(lines, keep))))
+
+    trimmed = let(F.split(code, "\n"), lambda lines: let(F.array_distinct(code_tokens(query)), lambda wanted: with_hits(lines, wanted)))
+    shorter = let(trimmed, lambda t: F.when(token_len(t) < token_len(code), t).otherwise(code))
+    return F.when(token_len(code) <= max_tokens, code).otherwise(shorter)
 
 
 def fit_budget(code, query, budget: int) -> Column:
     """No more than the budget: trimmed to the query, then cut hard."""
-    fitted = trim_to_query(code, query, budget)
-    cut = F.concat(rstrip(F.substring(fitted, 1, budget * 4)), F.lit(BUDGET_MARK))
-    return F.when(token_len(code) <= budget, c(code)).when(token_len(fitted) <= budget, fitted).otherwise(cut)
+    cut = lambda t: F.concat(rstrip(F.substring(t, 1, budget * 4)), F.lit(BUDGET_MARK))
+    fitted = let(trim_to_query(code, query, budget), lambda t: F.when(token_len(t) <= budget, t).otherwise(cut(t)))
+    return F.when(token_len(code) <= budget, c(code)).otherwise(fitted)
 
 
 def judge_cut(s, max_tokens: int) -> Column:

@@ -74,9 +74,14 @@ def n_lines(text: Column) -> Column:
     return F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"))) + 1
 
 
+def decoded(content: Column) -> Column:
+    """Bytes as UTF-8 text; what is no UTF-8 becomes the replacement character."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def small_text(content: Column, max_bytes: int = MAX_BYTES, max_lines: int = MAX_LINES) -> Column:
     """Within the limits, and without a NUL in the first SNIFFED bytes."""
-    text = F.decode(content, "UTF-8")
+    text = decoded(content)
     binary = F.locate("\0", F.decode(F.substring(content, 1, SNIFFED), "ISO-8859-1")) > 0
     return (F.octet_length(content) <= max_bytes) & ~binary & (n_lines(text) <= max_lines)
 
@@ -126,9 +131,9 @@ def keep(files: DataFrame, languages: list[str] | None = None, ignore: list[str]
     name come first, then those of the content."""
     p = F.col("file_path")
     named = files.where(~in_skipped_dir(p) & ~skipped_name(p) & ~ignored(p, ignore or []))
-    text = F.decode("content", "UTF-8")
+    text = decoded(F.col("content"))
     good = named.where(small_text(F.col("content"), max_bytes, max_lines))
-    out = good.select("file_path", language(p, F.substring(F.decode(F.substring("content", 1, 128), "UTF-8"), 1, 128)).alias("language"), n_lines(text).cast("int").alias("n_lines"), F.sha1("content").alias("content_sha"), text.alias("text"))
+    out = good.select("file_path", language(p, decoded(F.substring("content", 1, 128))).alias("language"), n_lines(text).cast("int").alias("n_lines"), F.sha1("content").alias("content_sha"), text.alias("text"))
     out = out.where("language IS NOT NULL")
     return out.where(F.col("language").isin(languages)) if languages else out
 
