@@ -13,6 +13,7 @@ count as many times as they occur. Other columns are ignored."""
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import components, drop, staged
 
+log = logging.getLogger(__name__)
+
 K, ORDERS, NEAR, ROUNDS, AUDIT, REPAIRS = 10, 16, 6, 4, 256, 4
 BLOCK = 512
 #: A refinement ends when at most this share of list entries is new.
@@ -188,7 +191,7 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding"
     for (dim,) in sorted(tuple(r) for r in classes.select("dim").distinct().collect()):
         own = classes.where(F.col("dim") == dim)
         of, recall = _links(own, dim, least)
-        print(f"near_duplicates: {dim} dimensions, audited recall of links {recall:.4f}")
+        log.info("%d dimensions, audited recall of links %.4f", dim, recall)
         here = own.select("x", "id", "weight").join(of, "id", "left").join(_counted(own, of, least), "id", "left")
         facts = here if facts is None else facts.unionByName(here)
     if facts is None:
