@@ -11,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SF = "/root/testdata/sf0.001"
 
 
-def session(warehouse: str, cores: int = 2) -> SparkSession:
+def session(warehouse: str, cores: int = 4) -> SparkSession:
     here = Path(__file__).resolve()
     os.environ["PYTHONPATH"] = f"{here.parents[1]}:{here.parent}:{os.environ.get('PYTHONPATH', '')}"
     s = (
