@@ -45,7 +45,6 @@ KINDS = ("assign", "access", "hex", "crf")
 _HEX_MARKS = bytes(120 if c in b"0123456789abcdef" else 32 for c in range(256))
 
 SPANS = "array<struct<kind: string, start: int, end: int>>"
-_NO_WORD = ""
 _MARKS = ".,;:!?()[]{}<>*#%&$|\"'-\u2026\u00ab\u00bb"
 
 
@@ -83,20 +82,24 @@ def _own(token: str) -> list[str]:
     turns = sum(a.isdigit() != b.isdigit() for a, b in zip(few, few[1:], strict=False))
     return [
         f"shape={_shape(token)}", f"n{min(len(token), 80) // 4}", f"digits{min(4, 5 * digits // len(token))}", f"upper{min(4, 5 * upper // len(token))}", f"signs{min(4, 5 * (len(token) - digits - letters) // len(token))}",
-        f"spread{int(5 * spread)}", f"turns{min(turns, 9)}", f"turns{min(turns, 9)}n{min(len(token), 80) // 8}", f"first={token[:3]}", "key" if ("=" in token or ":" in token) else "nokey", f"word={token.lower()[:24]}" if letters == len(token) else "noword",
+        f"spread{int(5 * spread)}", f"turns{min(turns, 9)}", f"turns{min(turns, 9)}n{min(len(token), 80) // 8}", f"first={token[:3]}", "key" if ("=" in token or ":" in token) else "nokey", _word(token) if letters == len(token) else "noword",
     ]
 
 
+def _word(token: str) -> str:
+    return f"word={token.lower()[:24]}"
+
+
 def _beside(token: str) -> list[str]:
     plain = token.strip(_MARKS).isalpha()
-    return [f"word={token.lower()[:24]}" if plain or len(token) <= 3 else "noword", "plain" if plain else f"shape={_shape(token)}", "ends" + (token[-1:] if token[-1:] in "=:\"'" else "")]
+    return [_word(token) if plain or len(token) <= 3 else "noword", "plain" if plain else f"shape={_shape(token)}", "ends" + (token[-1:] if token[-1:] in "=:\"'" else "")]
 
 
 def file_features(text: str) -> list[str]:
-    n = max(1, len(text))
-    digits = sum(map(text.count, string.digits))
-    signs = sum(map(text.count, "=:_/\"'{}"))
-    return [f"file-digits{min(6, int(100 * digits / n))}", f"file-signs{min(6, int(100 * signs / n))}"]
+    raw = text.encode()
+    n = max(1, len(raw))
+    digits, signs = (len(raw) - len(raw.translate(None, own)) for own in (b"0123456789", b"=:_/\"'{}"))
+    return [f"file-digits{min(6, 100 * digits // n)}", f"file-signs{min(6, 100 * signs // n)}"]
 
 
 def _ids(prefix: str, features: list[str]) -> list[int]:
@@ -107,6 +110,7 @@ def _ids(prefix: str, features: list[str]) -> list[int]:
 class Field:
     weights: np.ndarray  # BUCKETS x 3
     moves: np.ndarray  # 3 x 3
+    words: frozenset = frozenset()  # the word features seen in training; others have no weight
 
     def margin(self) -> float:
         """What a path can gain by its transitions at most from having one token other than O."""
@@ -130,38 +134,65 @@ def viterbi(score: np.ndarray, moves: np.ndarray, before: int | None = None, aft
     return tags
 
 
+class _Rows(dict):
+    """The row of each token: what tokens of the same features add to scores."""
+
+    def __init__(self, tagger: Tagger):
+        super().__init__()
+        self.tagger = tagger
+
+    def __missing__(self, token: str) -> int:
+        row = self[token] = self.tagger.row(token)
+        return row
+
+
 class Tagger:
-    """A field with a memo of what each token adds to its own scores and to those of its neighbours."""
+    """A field with a memo of what each token adds to its own scores and to those of its neighbours. Tokens of the same
+    features share a row; words that training has not seen have no weight of their own, so prose needs few rows."""
 
     def __init__(self, field: Field, most: int = MEMO_TOKENS):
-        self.field, self.most = field, most
+        self.field, self.most, self.files = field, most, {}
         self._fresh()
 
     def _fresh(self) -> None:
-        self.at: dict[str, int] = {}
+        self.of: dict[tuple, int] = {}
         self.parts = np.zeros((1024, 3, 3), dtype=np.float64)  # own, as the one before, as the one after
-        self._add(_NO_WORD)
-
-    def _add(self, token: str) -> int:
-        i = len(self.at)
+        self.at = _Rows(self)
+        self._add((), ("edge",))
+
+    def row(self, token: str) -> int:
+        seen = self.field.words
+        known = lambda features: tuple(f for f in features if not f.startswith("word=") or f in seen)
+        word = token.strip(_MARKS)
+        if word.isalpha() and (word.islower() or word.istitle() or word.isupper()) and _word(token) not in seen:
+            last = token[-1] if token[-1] in "=:\"'" else ""
+            key = (len(word) if len(word) < 60 else 60) // 10, last
+            if (row := self.of.get(key)) is None:
+                row = self.of[key] = self._add(known(_own(token)), known(_beside(token)))
+            return row
+        key = known(_own(token)), known(_beside(token))
+        if (row := self.of.get(key)) is None:
+            row = self.of[key] = self._add(*key)
+        return row
+
+    def _add(self, own: tuple, beside: tuple) -> int:
+        i = len(self.of) + (0 if not own else 1)
         if i >= len(self.parts):
             self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
         w = self.field.weights
-        if token:
-            self.parts[i, 0] = w[_ids("", _own(token))].sum(axis=0)
-        beside = _beside(token) if token else ["edge"]
-        self.parts[i, 1] = w[_ids("<", beside)].sum(axis=0)
-        self.parts[i, 2] = w[_ids(">", beside)].sum(axis=0)
-        self.at[token] = i
+        self.parts[i, 0] = w[_ids("", list(own))].sum(axis=0) if own else 0
+        self.parts[i, 1] = w[_ids("<", list(beside))].sum(axis=0)
+        self.parts[i, 2] = w[_ids(">", list(beside))].sum(axis=0)
         return i
 
     def scores(self, tokens: list[str], file: list[str]) -> np.ndarray:
-        if len(self.at) > 1 and len(self.at) + len(tokens) > self.most:
+        if len(self.at) and len(self.at) + len(tokens) > self.most:
             self._fresh()
-        at, add = self.at, self._add
-        ids = np.array([at[t] if t in at else add(t) for t in tokens], dtype=np.int64)
-        p = self.parts
-        out = p[ids, 0] + self.field.weights[_ids("", file)].sum(axis=0)
+        ids = np.fromiter(map(self.at.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        p, key = self.parts, tuple(file)
+        if (bias := self.files.get(key)) is None:
+            bias = self.files[key] = self.field.weights[_ids("", file)].sum(axis=0)
+        out = p[ids, 0] + bias
         out[1:] += p[ids[:-1], 1]
         out[0] += p[0, 1]
         out[:-1] += p[ids[1:], 2]
@@ -303,7 +334,8 @@ def fit(windows: list[tuple[list[str], list[int], list[str]]]) -> Field:
             v *= 0.99
             v += 0.01 * g * g
             x -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
-    return Field(w, moves)
+    words = {_word(t) for tokens, _, _ in windows for t in tokens}
+    return Field(w, moves, frozenset(words))
 
 
 def train(df: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Field:
