@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.shared import staged
 
 
 @dataclass(frozen=True)
@@ -20,9 +21,14 @@ class Postings:
 
 
 def index(chunks: DataFrame, id: str = "id", text: str = "text", ordinal: str | None = None) -> Postings:
-    tokens = chunks.select(F.col(id).alias("id"), F.col(ordinal or id).alias("ordinal"), X.code_tokens(text).alias("tokens"))
-    postings = tokens.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-    return Postings(postings, tokens.select("id", F.size("tokens").cast("long").alias("dl"), "ordinal"), postings.groupBy("term").agg(F.count("*").alias("df")))
+    """Texts are cut into tokens once: the postings are written to the shared folder, sorted by term, and lengths and
+    frequencies follow from them."""
+    tokens = chunks.select(F.col(id).alias("id"), F.explode(X.code_tokens(text)).alias("term"))
+    postings = staged(tokens.groupBy("term", "id").agg(F.count("*").alias("tf")).sortWithinPartitions("term"), "postings")
+    lengths = postings.groupBy("id").agg(F.sum("tf").alias("dl"))
+    docs = chunks.select(F.col(id).alias("id"), F.col(ordinal or id).alias("ordinal")).join(lengths, "id", "left")
+    docs = docs.select("id", F.coalesce("dl", F.lit(0)).alias("dl"), "ordinal")
+    return Postings(postings, docs, postings.groupBy("term").agg(F.count("*").alias("df")))
 
 
 def search(queries: DataFrame, index: Postings, n: int = 40, k1: float = 1.5, b: float = 0.75, id: str = "query_id", text: str = "text") -> DataFrame:

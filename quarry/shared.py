@@ -1,10 +1,15 @@
-"""The folder that all executors share."""
+"""The folder that all executors share, and tables written to it."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -14,3 +19,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
     return sc.getCheckpointDir()
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read back: what several plans start from is computed once,
+    and a lost executor costs no recomputation. The files go when the program ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN[path] = spark
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _sweep() -> None:
+    for path, spark in _WRITTEN.items():
+        with contextlib.suppress(Exception):  # the session may be gone already
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
