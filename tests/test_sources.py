@@ -118,7 +118,7 @@ class Answers:
 
 
 def test_answers_and_evaluation(spark, tree):
-    chunks = chunking.chunks(chunking.parse_files(files.scan(spark, str(tree)))).localCheckpoint(eager=True)
+    chunks = chunking.chunks(chunking.parse_files(files.scan(spark, str(tree)))).cache()
     index = retrieval.build_index(chunks)
     models = retrieval.Models(llm=Answers)
     got = evaluation.answer(spark.createDataFrame([(1, "what does f return")], "query_id long, query string"), index, Settings(), models)
