@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +40,20 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         yield batch.slice(start)
 
 
+def lean(run):
+    """run, after whose last batch a worker gives memory back that it keeps for later: workers wait idle while other
+    stages need the executor's memory."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def extended(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     for name, values in columns.items():
         batch = batch.append_column(name, values)

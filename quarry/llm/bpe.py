@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.arrow import Memo, extended, slices
+from quarry.llm.arrow import Memo, extended, lean, slices
 
 #: Pieces whose ids a worker remembers; past this the memo starts anew.
 MEMO_PIECES = 300_000
@@ -141,7 +141,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids",
                     new[decoded] = pa.array([c.decode(np.frombuffer(x, dtype=np.int32).tolist()) for x in encoded], pa.string())
                 yield extended(batch, new)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:

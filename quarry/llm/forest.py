@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
-from quarry.llm.arrow import slices
+from quarry.llm.arrow import lean, slices
 from quarry.llm.common import bounded, components, drop, staged
 
 TREES, DEPTH, FLOOR = 32, 8, 5
@@ -67,7 +67,7 @@ def _described(df: DataFrame, id: str, text: str, width: int) -> DataFrame:
                     names=["id", "n", "same", "label"],
                 )
 
-    return df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, n long, same binary, label array<long>")
+    return df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), "id long, n long, same binary, label array<long>")
 
 
 def _sets(df: DataFrame, width: int) -> DataFrame:
@@ -78,7 +78,7 @@ def _sets(df: DataFrame, width: int) -> DataFrame:
                 offsets = np.cumsum([0, *map(len, own)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own)))], names=["id", "own"])
 
-    return df.mapInArrow(run, "id long, own array<long>")
+    return df.mapInArrow(lean(run), "id long, own array<long>")
 
 
 def _region(depth: int) -> list[Column]:

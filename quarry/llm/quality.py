@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.arrow import Memo, extended, slices
+from quarry.llm.arrow import Memo, extended, lean, slices
 
 BUCKETS = 1 << 18
 SAMPLE = 20_000
@@ -130,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, grade, grades: int, id: str = "doc
             own = [np.unique(np.array([_bucket(f) for f in features(x)], dtype=np.int32)).tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("grade"), pa.array(own, pa.binary())], names=["id", "grade", "buckets"])
 
-    got = rated.mapInArrow(run, "id string, grade int, buckets binary").orderBy("id").toLocalIterator()  # at most sample rows
+    got = rated.mapInArrow(lean(run), "id string, grade int, buckets binary").orderBy("id").toLocalIterator()  # at most sample rows
     return fit([(r["grade"], np.frombuffer(bytes(r["buckets"]), dtype=np.int32)) for r in got], grades)
 
 
@@ -148,7 +148,7 @@ def score(df: DataFrame, model: Model, text: str = "text", expected: str = "expe
                 tails = m.tails(total)
                 yield extended(batch, {expected: pa.array(tails.sum(axis=1)), tail: pa.array(tails[:, -1])})
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(expected, T.DoubleType()), T.StructField(tail, T.DoubleType())]))
+    return df.mapInArrow(lean(run), T.StructType([*df.schema.fields, T.StructField(expected, T.DoubleType()), T.StructField(tail, T.DoubleType())]))
 
 
 def _total(own: set[bytes], weight: Memo) -> float:

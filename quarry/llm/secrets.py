@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.arrow import extended, slices
+from quarry.llm.arrow import extended, lean, slices
 
 SAMPLE = 20_000
 BUCKETS = 1 << 15
@@ -366,7 +366,7 @@ def train(df: DataFrame, id: str = "doc_id", text: str = "text", sample: int = S
             types = (pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["place", "hit", "tokens", "tags", "file"])
 
-    found = some.mapInArrow(run, "place long, hit boolean, tokens array<string>, tags array<int>, file array<string>")
+    found = some.mapInArrow(lean(run), "place long, hit boolean, tokens array<string>, tags array<int>, file array<string>")
     found = found.groupBy("hit", "place").agg(*[F.min(c).alias(c) for c in ("tokens", "tags", "file")])
     own = [tuple(x) for x in found.where("hit").orderBy("place", "tokens").limit(PER_KIND).select("tokens", "tags", "file").collect()]
     none = [tuple(x) for x in found.where("NOT hit").orderBy("place", "tokens").limit(2 * PER_KIND).select("tokens", "tags", "file").collect()]
@@ -403,7 +403,7 @@ def scan(df: DataFrame, field: Field, text: str = "text", spans: str = "secret_s
                 columns[spans] = pa.array([[{"kind": k, "start": b, "end": e} for k, b, e in s] for s in found], kind)
                 yield pa.RecordBatch.from_arrays([columns[n] for n in [*names, spans]], names=[*names, spans])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def redact(text: str | None, spans: list[tuple[str, int, int]], mask: str) -> str | None:
