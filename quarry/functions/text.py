@@ -48,6 +48,10 @@ def code_tokens(s) -> Column:
     raw = F.filter(F.split(c(s), "[^A-Za-z0-9]+"), lambda x: x != "")
 
     def with_parts(x):
+        # most tokens have no capital, and so no parts: they are spared the pattern
+        return F.when(x == F.lower(x), F.array(x)).otherwise(camel(x))
+
+    def camel(x):
         parts = F.transform(F.split(F.regexp_replace(x, "(?<=[a-z0-9])(?=[A-Z])", " "), " "), F.lower)
         return F.concat(F.array(F.lower(x)), F.filter(parts, lambda p: p != F.lower(x)))
 
