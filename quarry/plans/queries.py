@@ -325,7 +325,7 @@ def csn_self_rank(spark, sf):
 @query("ann_ivf_recall")
 def ann_ivf_recall(spark, sf):
     e = table(spark, sf, "embeddings")
-    near = dense.InvertedFile(e, 32, "vec_id", "embedding").search(e.where("vec_id % 100 = 0"), 11, 12, "vec_id", "embedding").where("query_id <> id")
+    near = dense.InvertedFile(e, 32, "vec_id", "embedding").search(e.where("vec_id % 100 = 0"), 11, 24, "vec_id", "embedding").where("query_id <> id")
     exact = vector_lists(spark, sf)
     return exact.join(near.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left").groupBy("query_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0)).cast("double")), 6).alias("recall"))
 
