@@ -2,10 +2,12 @@
 
 Distinct vectors get neighbour lists of K entries from ORDERS random sign orders (vectors that follow each other in an
 order are compared), which rounds of neighbours-of-neighbours joins refine until few entries change. Edges of at least
-the threshold give components; a list whose entries all pass the threshold is saturated, and such lists, as all of
-linked vectors, are enlarged to the whole component, which is compared in blocks, exactly. Links lie within components,
-so what can be missed is a link between two of them: an audit compares AUDIT vectors, the first by a hash of their
-id, with all vectors, and while it finds links that are missing, there are further orders and rounds.
+the threshold give components. A list whose entries all pass the threshold is saturated: it may have no room for links
+to other components. Vectors with such lists get further lists, of vectors of other components only, by the same orders
+and rounds, and what passes the threshold joins components, until a search finds no more. The links of a vector are
+then counted by comparing its component in blocks, exactly. Links lie within components, so what can be missed is a
+link between two of them: an audit compares AUDIT vectors, the first by a hash of their id, with all vectors, and while
+it finds links that are missing, there are further orders and rounds.
 
 Vectors that are null, zero or of no elements, or hold null or non-finite elements, link with nothing; so do rows with
 a null id, whose component is null. Vectors of different lengths do not link. Equal vectors are compared once and
@@ -54,7 +56,8 @@ def _vectors(df: DataFrame, id: str, vector: str) -> DataFrame:
 
 
 def _ordered(vectors: DataFrame, dim: int, seed: int) -> DataFrame:
-    """Edges (v, u, sim) both ways between vectors that are near in one of the random sign orders."""
+    """Edges (v, u, sim) both ways between vectors of different groups that are near in one of the random sign orders.
+    Of vectors of one group that follow each other only the outer ones count, so that a large group hides no other."""
     planes = np.random.default_rng(seed).standard_normal((ORDERS, 48, dim))
     weights = (1 << np.arange(47, -1, -1)).astype(np.int64)
 
@@ -64,21 +67,28 @@ def _ordered(vectors: DataFrame, dim: int, seed: int) -> DataFrame:
                 x = _matrix(batch.column("x"))
                 for k in range(ORDERS):
                     key = (x @ planes[k].T > 0) @ weights
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, dtype=np.int32)), pa.array(key), batch.column("id"), batch.column("x")], names=["k", "key", "id", "x"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, dtype=np.int32)), pa.array(key), batch.column("id"), batch.column("x"), batch.column("of")], names=["k", "key", "id", "x", "of"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
         for batch in batches:
             if before is not None:
                 batch = pa.Table.from_batches([before, batch]).combine_chunks().to_batches()[0]
-            k, ids, x = batch.column("k").to_numpy(), batch.column("id").to_numpy(), _matrix(batch.column("x"))
+            k, of = batch.column("k").to_numpy(), batch.column("of").to_numpy()
+            at = np.arange(len(k))
+            change = np.flatnonzero((k[1:] != k[:-1]) | (of[1:] != of[:-1])) + 1
+            run = np.searchsorted(change, at, "right")
+            first, end = np.concatenate([[0], change])[run], np.concatenate([change, [len(k)]])[run]
+            outer = np.flatnonzero((at - first < NEAR) | (end - at <= NEAR))
+            batch, k, of = batch.take(pa.array(outer)), k[outer], of[outer]
+            ids, x = batch.column("id").to_numpy(), _matrix(batch.column("x"))
             for step in range(1, min(NEAR, len(ids) - 1) + 1):
-                same = k[step:] == k[:-step]
+                same = (k[step:] == k[:-step]) & (of[step:] != of[:-step])
                 a, b, sim = ids[step:][same], ids[:-step][same], np.einsum("ij,ij->i", x[step:], x[:-step])[same]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b])), pa.array(np.concatenate([b, a])), pa.array(np.concatenate([sim, sim]))], names=["v", "u", "sim"])
             before = batch.slice(max(0, batch.num_rows - NEAR))
 
-    rows = vectors.select("id", "x").mapInArrow(keyed, "k int, key long, id long, x binary")
+    rows = vectors.select("id", "x", "of").mapInArrow(keyed, "k int, key long, id long, x binary, of long")
     ordered = rows.repartitionByRange("k", "key", "id").sortWithinPartitions("k", "key", "id")
     return ordered.mapInArrow(near, "v long, u long, sim double")
 
@@ -90,28 +100,31 @@ def _best(edges: DataFrame, k: int = K) -> DataFrame:
     return once.withColumn("r", rank).where(F.col("r") <= k).select("v", "u", "sim", "r")
 
 
-def _joined(lists: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Edges that neighbours of a common vertex would add to their lists."""
-    worst = lists.groupBy("v").agg(F.when(F.count("*") >= K, F.min("sim")).otherwise(F.lit(-2.0)).alias("worst"))
-    back = _best(lists.select(F.col("u").alias("v"), F.col("v").alias("u"), "sim")).select("v", "u")
-    around = lists.select("v", "u").unionByName(back).distinct()
-    member = around.join(vectors.select(F.col("id").alias("u"), "x"), "u").join(worst.withColumnRenamed("v", "u"), "u")
+def _joined(lists: DataFrame, vectors: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """Edges between groups that neighbours of a common vertex, by lists or by those within groups, would add."""
+    worst = lists.groupBy(F.col("v").alias("u")).agg(F.when(F.count("*") >= K, F.min("sim")).otherwise(F.lit(-2.0)).alias("worst"))
+    around = None
+    for each in [lists] if within is None else [lists, within]:
+        back = _best(each.select(F.col("u").alias("v"), F.col("v").alias("u"), "sim"))
+        both = each.select("v", "u").unionByName(back.select("v", "u"))
+        around = both if around is None else around.unionByName(both)
+    member = around.distinct().join(vectors.select(F.col("id").alias("u"), "x", "of"), "u").join(worst, "u", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
 
     def meet(table: pa.Table) -> pa.Table:
-        ids, worst, x = table["u"].to_numpy(), table["worst"].to_numpy(), _matrix(table["x"].combine_chunks())
+        ids, of, worst, x = table["u"].to_numpy(), table["of"].to_numpy(), table["worst"].to_numpy(), _matrix(table["x"].combine_chunks())
         sim = x @ x.T
-        np.fill_diagonal(sim, -3)
+        sim[of[:, None] == of] = -3
         a, b = np.nonzero(sim > worst[:, None])
         return pa.table({"v": ids[a], "u": ids[b], "sim": sim[a, b]})
 
-    # a group is a vertex's list and its K nearest backward neighbours: 2 * K rows at most
+    # a group is a vertex's list and its K nearest backward neighbours, of each kind: 4 * K rows at most
     return member.groupBy("v").applyInArrow(meet, "v long, u long, sim double")
 
 
-def _refined(lists: DataFrame, vectors: DataFrame) -> DataFrame:
+def _refined(lists: DataFrame, vectors: DataFrame, within: DataFrame | None = None) -> DataFrame:
     lists = staged(lists, "lists")
     for _ in range(ROUNDS):
-        better = staged(_best(lists.select("v", "u", "sim").unionByName(_joined(lists, vectors))), "lists")
+        better = staged(_best(lists.select("v", "u", "sim").unionByName(_joined(lists, vectors, within))), "lists")
         new = better.join(lists, ["v", "u"], "left_anti").count()
         total = better.count()
         drop(lists)
@@ -121,6 +134,33 @@ def _refined(lists: DataFrame, vectors: DataFrame) -> DataFrame:
     return lists
 
 
+def _bridged(vectors: DataFrame, lists: DataFrame, of: DataFrame, dim: int, seed: int, least: float) -> DataFrame:
+    """(id, component_id), with the components joined between which saturated lists had no room for links. A link that
+    has no place in the list of one side is in that of the other, unless both are saturated."""
+    full = staged(lists.where(F.col("sim") >= least).groupBy(F.col("v").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= K).select("id"), "full")
+    within = None
+    while True:
+        here = vectors.select("id", "x").join(full, "id").join(of, "id").select("id", "x", F.col("component_id").alias("of"))
+        if here.select("of").distinct().limit(2).count() < 2:
+            return of
+        here = staged(here, "saturated")
+        if within is None:
+            side = lambda n: full.select(F.col("id").alias(n))
+            within = staged(lists.join(side("v"), "v", "left_semi").join(side("u"), "u", "left_semi").select("v", "u", "sim"), "within")
+        seed += 1000
+        across = _refined(_best(_ordered(here, dim, seed)), here, within)
+        found = across.where(F.col("sim") >= least).select("v", "u")
+        if not found.limit(1).count():
+            return of
+        of = staged(components(_star(of).unionByName(found), "v", "u"), "components")
+        drop(here, across)
+
+
+def _star(of: DataFrame) -> DataFrame:
+    """Edges (v, u) that connect each component."""
+    return of.select(F.col("id").alias("v"), F.col("component_id").alias("u"))
+
+
 def _audited(vectors: DataFrame, least: float) -> DataFrame:
     """All edges of at least the threshold of AUDIT vectors, by comparison with every vector."""
     chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(AUDIT).collect()
@@ -143,6 +183,7 @@ def _audited(vectors: DataFrame, least: float) -> DataFrame:
 
 def _links(vectors: DataFrame, dim: int, least: float) -> tuple[DataFrame, float]:
     """(id, component_id) of vectors with links, and the recall of links that the last audit measured."""
+    vectors = vectors.withColumn("of", F.col("id"))
     truth = staged(_audited(vectors, least), "audit")
     lists, recall = None, 0.0
     for repair in range(REPAIRS):
@@ -151,14 +192,14 @@ def _links(vectors: DataFrame, dim: int, least: float) -> tuple[DataFrame, float
             start = start.unionByName(lists.select("v", "u", "sim"))
         lists = _refined(_best(start), vectors)
         found = components(lists.where(F.col("sim") >= least), "v", "u")
-        of = staged(found, "components")
+        of = _bridged(vectors, lists, staged(found, "components"), dim, 7 + repair, least)
         side = lambda n: of.select(F.col("id").alias(n), F.col("component_id").alias(f"of_{n}"))
         checked = truth.join(side("v"), "v", "left").join(side("u"), "u", "left").agg(F.count("*"), F.count(F.when(F.col("of_v") == F.col("of_u"), 1))).first()
         recall = checked[1] / checked[0] if checked[0] else 1.0
         if recall == 1.0:
             break
     if recall < 1.0:  # what the audit saw is known, so it counts
-        of = staged(components(lists.where(F.col("sim") >= least).select("v", "u").unionByName(truth.select("v", "u")), "v", "u"), "components")
+        of = staged(components(_star(of).unionByName(truth.select("v", "u")), "v", "u"), "components")
     return of, recall
 
 

@@ -153,6 +153,24 @@ def test_embeddings_on_odd_input(spark):
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_two_saturated_groups(spark, monkeypatch):
+    """Two groups of near copies, all pairs of both linked, none in a list of the ten nearest."""
+    rng = np.random.default_rng(8)
+    a, b = np.eye(32)[0], np.eye(32)[1]
+    centers = [a, 0.97 * a + np.sqrt(1 - 0.97**2) * b]
+    near = [c + 0.003 * rng.standard_normal(32) for c in centers for _ in range(150)]
+    vectors = [*near, *rng.standard_normal((200, 32))]
+    x = np.array([v / np.sqrt(v @ v) for v in vectors])
+    sim = x[:300] @ x[:300].T
+    assert sim[:150, 150:].min() >= 0.95 and min(sim[:150, :150].min(), sim[150:, 150:].min()) >= 0.999 and (x @ x.T)[300:, :300].max() < 0.95
+    ids = [r["id"] for r in spark.range(500).orderBy(F.xxhash64("id"), "id").collect()][::-1]
+    monkeypatch.setattr(neighbours, "AUDIT", 100)  # the first 100 by hash are strangers, so the audit sees no link
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neighbours.near_duplicates(df).collect()}
+    least = min(ids[:300])
+    assert all(got[i] == (299, least) for i in ids[:300]) and all(got[i] == (0, i) for i in ids[300:])
+
+
 # ---- 4
 
 
