@@ -10,7 +10,9 @@ A window can share a band's value with a template only if it holds the run of wo
 windows around a run that some template has are signed; this loses nothing. Templates are a small table; it is counted
 before it is broadcast, and beyond the bound the joins shuffle.
 
-Null and empty texts, texts and templates of fewer than five words match nothing. Documents are told apart by id; rows
+A template of fewer than five words is one run of all its words, and texts are cut into runs of its width for it.
+
+Null and empty texts match nothing, nor do templates without words. Documents are told apart by id; rows
 with a null id are left out. A repeated row does not repeat a match. Other columns are ignored."""
 
 from __future__ import annotations
@@ -44,9 +46,9 @@ def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataF
     return spark.createDataFrame(sorted((texts or TEMPLATES).items()), "license string, text string")
 
 
-def runs(w: str) -> Column:
-    """A hash of every run of WIDTH words, in order."""
-    return F.when(F.size(w) >= WIDTH, F.transform(F.sequence(F.lit(1), F.size(w) - (WIDTH - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(WIDTH))))).otherwise(F.array().cast("array<bigint>"))
+def runs(w: str, width: int = WIDTH) -> Column:
+    """A hash of every run of width words, in order."""
+    return F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(width))))).otherwise(F.array().cast("array<bigint>"))
 
 
 def bands(own: Column) -> Column:
@@ -62,7 +64,9 @@ def bands(own: Column) -> Column:
 def scan(df: DataFrame, table: DataFrame, id: str = "doc_id", text: str = "text", license: str = "license", license_text: str = "text") -> DataFrame:
     """(id, license, n_windows, containment, first_word): for each document and template how many windows hold the
     template's runs to a share of CONTAINED at least, the greatest share, and where the first such window starts."""
-    wide = table.select(F.col(license).alias("license"), words(license_text).alias("w")).where(F.size("w") >= WIDTH).select("license", F.size("w").alias("m"), F.array_distinct(runs("w")).alias("own"))
+    wide = table.select(F.col(license).alias("license"), words(license_text).alias("w")).where(F.size("w") > 0)
+    short = wide.where(F.size("w") < WIDTH).select("license", F.size("w").alias("m"), F.xxhash64("w").alias("run"))
+    wide = wide.where(F.size("w") >= WIDTH).select("license", F.size("w").alias("m"), F.array_distinct(runs("w")).alias("own"))
     stride = F.greatest(F.lit(1), F.floor((F.col("m") - (WIDTH - 1)) / 4)).cast("int")
     known = staged(wide.withColumn("stride", stride).withColumn("held", F.col("m") + F.col("stride") - WIDTH).drop("m"), "templates")
     # held: runs in a window
@@ -83,4 +87,19 @@ def scan(df: DataFrame, table: DataFrame, id: str = "doc_id", text: str = "text"
     share = F.size(F.array_intersect("runs", "own")) / F.size("own")
     good = met.select("doc_id", "license", "at", share.alias("share")).where(F.col("share") >= CONTAINED).distinct()
     out = good.groupBy("doc_id", "license").agg(F.count("*").alias("n_windows"), F.round(F.max("share"), 6).alias("containment"), F.min("at").cast("long").alias("first_word"))
-    return out.withColumnRenamed("doc_id", id)
+    return out.unionByName(_short(docs, short)).withColumnRenamed("doc_id", id)
+
+
+def _short(docs: DataFrame, short: DataFrame) -> DataFrame:
+    """The same for templates of fewer than WIDTH words, each one run: a window is the run itself."""
+    short = staged(short, "short")
+    widths = sorted(r["m"] for r in short.select("m").distinct().collect())
+    at = None
+    for m in widths:
+        own, _ = bounded(short.where(F.col("m") == m).select("license", "run"))
+        here = docs.select("doc_id", F.posexplode(runs("w", m)).alias("at", "run")).join(own, "run").select("doc_id", "license", "at")
+        at = here if at is None else at.unionByName(here)
+    if at is None:
+        at = docs.sparkSession.createDataFrame([], docs.select("doc_id", F.lit("").alias("license"), F.lit(0).alias("at")).schema)
+    found = at.distinct().groupBy("doc_id", "license")
+    return found.agg(F.count("*").alias("n_windows"), F.lit(1.0).alias("containment"), F.min("at").cast("long").alias("first_word"))

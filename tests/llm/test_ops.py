@@ -124,6 +124,14 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, texts).limit(0), licenses.templates(spark)).count() == 0
 
 
+def test_licenses_of_few_words(spark):
+    short = {"all-rights-reserved": "All rights reserved.", "PD": "Public domain", "none": "...", "MIT": licenses.TEMPLATES["MIT"]}
+    texts = ["Some text. ALL RIGHTS\nRESERVED.", "all rights reserved; all rights reserved", "all rights are reserved", "public domain", "domain public", "rights reserved", None, "", licenses.TEMPLATES["MIT"]]
+    found = licenses.scan(docs(spark, [*texts, texts[1]], [*range(len(texts)), 1]), licenses.templates(spark, short))
+    got = sorted(tuple(r) for r in found.select("doc_id", "license", "n_windows", "containment", "first_word").collect())
+    assert got == [(0, "all-rights-reserved", 1, 1.0, 2), (1, "all-rights-reserved", 2, 1.0, 0), (3, "PD", 1, 1.0, 0), (8, "MIT", 1, 1.0, 0)]
+
+
 # ---- 3
 
 
