@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from quarry.llm import bpe, contamination, forest, quality, queries, secrets
 from quarry.llm.common import bounded, staged
 
+#: Texts of at least this similarity of five-word shingles, in percent, are near duplicates.
+SIMILAR = 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -22,7 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id stays, once if its row is repeated."""
-    gone, _ = bounded(staged(forest.near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "gone"))
+    gone, _ = bounded(staged(forest.near_duplicates(docs, percent=SIMILAR).where("NOT kept").select("doc_id").distinct(), "gone"))
     left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
     repeated, _ = bounded(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])

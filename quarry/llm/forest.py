@@ -6,8 +6,9 @@ that it shares with a lesser one, so dense regions (thousands of near copies) ar
 candidates stay linear in the number of sets. Sets whose own shingles, which no other set has, already rule out any
 link are left out first: of thousands of copies, those with many edits. Candidates are confirmed on full sets; what they do not link, though it
 shares a region with other components, is then compared within that region, at a greater depth where a region is
-crowded, down to DEPTH. Two sets of similarity 0.85 share no prefix of FLOOR values in any tree with a probability
-below 1e-8, and none of DEPTH values with one below 1e-4.
+crowded, down to the depth that the threshold allows: DEPTH for 0.85, six values for 0.8. Two sets of similarity 0.85
+share no prefix of FLOOR values in any tree with a probability below 1e-8, two of 0.8 with one below 1e-5, and none of
+that greatest depth with one below 1e-4.
 
 Null and empty texts have empty sets and link with nothing; texts of fewer words than a shingle are one shingle. Rows
 with a null id are returned alone, with a null component. Repeated rows get a row each. Other columns are ignored."""
@@ -81,6 +82,11 @@ def _sets(df: DataFrame, width: int) -> DataFrame:
     return df.mapInArrow(lean(run), "id long, own array<long>")
 
 
+def _deepest(percent: int) -> int:
+    """The greatest depth at which two sets of that similarity share no region with a probability below 1e-4."""
+    return max([FLOOR] + [d for d in range(FLOOR, DEPTH + 1) if (1 - (percent / 100) ** d) ** TREES < 1e-4])
+
+
 def _region(depth: int) -> list[Column]:
     """The columns that name a region: tree, the first four values, and as many of the other four as the depth adds."""
     return [F.col("tree"), F.col("hi"), F.shiftrightunsigned("lo", 16 * (8 - depth)).alias("part")]
@@ -172,17 +178,17 @@ def _within_regions(forest: DataFrame, facts: DataFrame, roots: DataFrame, perce
     suffice for a link."""
     most = F.least("common", "common_x") + F.size(F.array_intersect("rare", "rare_x"))
     left = forest.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "tree", "hi", "lo", F.coalesce("component_id", "rep").alias("of"))
-    pairs = None
-    for depth in range(FLOOR, DEPTH + 1):
+    pairs, deepest = None, _deepest(percent)
+    for depth in range(FLOOR, deepest + 1):
         here = staged(left.withColumn("part", _region(depth)[2]), "region")
         by_component = here.groupBy("tree", "hi", "part", "of").agg(F.count("*").alias("k"))
         regions = by_component.groupBy("tree", "hi", "part").agg(F.max_by("of", F.struct("k", "of")).alias("largest"), F.sum("k").alias("members"), F.max("k").alias("most")).where("members > most")
         known = here.join(regions, ["tree", "hi", "part"])
-        open_now = (known if depth == DEPTH else known.where(F.col("members") - F.col("most") <= CROWDED)).join(facts, "rep")
+        open_now = (known if depth == deepest else known.where(F.col("members") - F.col("most") <= CROWDED)).join(facts, "rep")
         strangers = open_now.where("of <> largest").select("tree", "hi", "part", F.col("rep").alias("x"), F.col("of").alias("of_x"), F.col("n").alias("n_x"), F.col("common").alias("common_x"), F.col("rare").alias("rare_x"))
         able = 100 * most >= percent * (F.col("n") + F.col("n_x") - most)
         met = open_now.join(strangers, ["tree", "hi", "part"]).where((F.col("of") != F.col("of_x")) & able).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
         pairs = met if pairs is None else pairs.unionByName(met)
-        if depth < DEPTH:
+        if depth < deepest:
             left = known.where(F.col("members") - F.col("most") > CROWDED).select("rep", "tree", "hi", "lo", "of")
     return pairs.distinct()

@@ -1,5 +1,7 @@
 """The corpus pipeline on rows with planted cases."""
 
+import random
+
 from helpers import SF
 
 import corpus_pipeline
@@ -27,6 +29,21 @@ def test_stages_take_effect(spark):
     assert rated.columns == corpus_pipeline.COLUMNS and rated.count() > 0.5 * docs.count()
 
 
+def test_pairs_between_80_and_85_percent(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        w = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+        v = [f"new{k}" if k in (20, 70, 120, 170) else x for k, x in enumerate(w)]
+        a, b = ({tuple(x[k : k + 5]) for k in range(196)} for x in (w, v))
+        assert 0.80 <= len(a & b) / len(a | b) < 0.85
+        rows += [(2 * i, " ".join(w), "en", "p", 1), (2 * i + 1, " ".join(v), "en", "p", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 80, 2))
+    assert [forest._deepest(p) for p in (85, 80)] == [8, 6]
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.where("n_tokens <> size(token_ids)").count() == 0 and out.count() > 0
