@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, contamination, forest, quality, queries, secrets
-from quarry.llm.common import bounded, staged
+from quarry.llm.common import bounded, keyed, rested, staged
 
 #: Texts of at least this similarity of five-word shingles, in percent, are near duplicates.
 SIMILAR = 80
@@ -17,35 +17,45 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose probability of the highest grade is too low."""
+    """Documents go whose probability of the highest grade is too low. Null text counts as empty; without labels of two
+    grades all stay; each of repeated rows is judged alike."""
     rated = queries.quality_scores(docs.select(*COLUMNS), docs, queries.table(spark, sf_dir, "labels"))
     return rated.where(F.col("top_probability") >= quality.KEEP).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays, once if its row is repeated."""
-    gone, _ = bounded(staged(forest.near_duplicates(docs, percent=SIMILAR).where("NOT kept").select("doc_id").distinct(), "gone"))
-    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    repeated, _ = bounded(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
+    """Of each group of near duplicates one row stays: of those with the least id (null ids last) the first. Rows are
+    compared by their texts, whatever their ids: texts that share an id and are no near duplicates all stay, and so do
+    rows without words."""
+    rows = keyed(docs.select(*COLUMNS), "rows")
+    found = forest.near_duplicates(rows, percent=SIMILAR, key="row_key")
+    left = _without(rows, found.where("NOT first"))
+    rested(spark)
+    return left
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that hold a window of a benchmark item."""
-    found = contamination.contamination(docs, queries.table(spark, sf_dir, "benchmark"))
-    gone, _ = bounded(staged(found.where("n_hit > 0").select("doc_id").distinct(), "gone"))
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows go that hold a window of a benchmark item, whatever their ids; rows without words and, without items, all stay."""
+    rows = keyed(docs.select(*COLUMNS), "rows")
+    found = contamination.contamination(rows, queries.table(spark, sf_dir, "benchmark"), key="row_key")
+    left = _without(rows, found.where("n_hit > 0"))
+    rested(spark)
+    return left
+
+
+def _without(rows: DataFrame, found: DataFrame) -> DataFrame:
+    gone, _ = bounded(staged(found.select("row_key"), "gone"))
+    return rows.join(gone, "row_key", "left_anti").select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in their texts give way to a mask."""
+    """All rows stay; secrets in their texts give way to a mask. Null and empty texts stay as they are."""
     masked = secrets.scan(docs.select(*COLUMNS), secrets.train(docs), redacted="text")
     return masked.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's token ids and their number."""
+    """Every row's token ids and their number; null text has none."""
     coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), queries.bpe_path())
     return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 

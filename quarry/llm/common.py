@@ -1,69 +1,39 @@
-"""What the operators share: tables written to the cluster's shared folder, and connected components."""
+"""What the operators share: rows with keys of their own, checked broadcasts, and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import gc
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of a join is broadcast; it is counted first, and beyond this the join shuffles.
-BROADCAST_ROWS = 200_000
+from quarry.shared import drop, remember, shared_root, staged
 
-_WRITTEN: dict[str, SparkSession] = {}
+__all__ = ["bounded", "components", "drop", "keyed", "remember", "rested", "shared_root", "staged"]
 
+#: Rows and bytes up to which a side of a join is broadcast; it is measured first, and beyond this the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or the context's checkpoint folder, or, where neither
-    is set (a local session), a temporary one that is then set."""
-    if root := spark.conf.get("spark.checkpoint.dir", None):
-        return root.rstrip("/")
-    if not (root := spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
 
-
-def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df, written once as Parquet in the shared folder and read back: lineage ends here, and a lost executor costs
-    no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/quarry-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    _WRITTEN[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quarry_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete staged tables that no plan still to be run reads."""
-    for df in tables:
-        if path := getattr(df, "_quarry_path", None):
-            _delete(path, df.sparkSession)
-            _WRITTEN.pop(path, None)
+def keyed(df: DataFrame, name: str = "rows", key: str = "row_key") -> DataFrame:
+    """df, staged, with a key of its own for every row (a long made of partition and position). Operators tell rows
+    apart by it, so null ids, repeated ids and ids that stand for different texts are rows like any others."""
+    return staged(df.withColumn(key, F.monotonically_increasing_id()), name)
 
 
-def _delete(path: str, spark: SparkSession) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def rested(spark: SparkSession) -> None:
+    """Between steps of many plans: have Python and the driver's JVM give back memory of plans that are done; Spark
+    then also deletes the shuffle files and broadcasts that no plan needs any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
-@atexit.register
-def _sweep() -> None:
-    for path, spark in list(_WRITTEN.items()):
-        try:
-            _delete(path, spark)
-        except Exception:  # the session may be gone already
-            pass
-
-
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """df with a broadcast hint if it has at most that many rows, else df as it is; and whether it was hinted."""
-    small = df.limit(rows + 1).count() <= rows
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """df with a broadcast hint if it has at most that many rows and bytes (as JSON), else df as it is; and whether it
+    was hinted."""
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, total = df.select(width.alias("width")).limit(rows + 1).agg(F.count("*"), F.sum("width")).first()
+    small = n <= rows and (total or 0) <= size
     return (F.broadcast(df) if small else df), small
 
 
@@ -85,7 +55,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seen = tuple(now)
     # a forest of stars: every v points at its root
     roots = e.select(F.col("u").alias("id")).distinct().select("id", F.col("id").alias("component_id"))
-    return e.select(F.col("v").alias("id"), F.col("u").alias("component_id")).unionByName(roots)
+    out = e.select(F.col("v").alias("id"), F.col("u").alias("component_id")).unionByName(roots)
+    out._quarry_path = e._quarry_path  # for drop()
+    return out
 
 
 def _large_star(e: DataFrame) -> DataFrame:

@@ -9,16 +9,20 @@ place in the phrase to where the phrase would start, and intersected with the li
 is compared word by word with the documents, so the result is exact whatever hashes collide. proximity() finds
 phrases' words in any order within a span.
 
-Null and empty texts have no words: such documents get a row with zeros, such items match nothing. Documents are told
-apart by id; a row that repeats an id and its text gets a row of its own, rows with a null id are counted but not
-searched. Repeated items count once. Other columns are ignored."""
+An index is a table of its own: build_index() makes it once, and phrase_matches(), proximity() and contamination()
+take it as often as wanted.
+
+Every row of documents is indexed under a key of its own, so rows with a null id, with a repeated one, or with one that
+stands for several texts are each searched and judged by their own text. Null and empty texts have no words: such
+documents get a row with zeros, such items match nothing. Items with a null id mark words, and have no id to list;
+repeated items count once. Empty tables give no rows, or rows without hits. Other columns are ignored."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded, drop, staged
+from quarry.llm.common import bounded, drop, keyed, staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: All that is in no word, once A-Z are lower-case.
@@ -34,7 +38,7 @@ def words(text: str) -> Column:
 
 
 def build_index(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The postings (term, doc_id, pos) of all words, written in shards sorted by term."""
+    """The postings (term, doc_id, pos) of all words, written in shards sorted by term; id names a key that no two rows share."""
     each = df.select(F.col(id).alias("doc_id"), F.posexplode(F.array_append(words(text), F.lit(""))).alias("pos", "word"))
     return staged(each.select(F.xxhash64("word").alias("term"), "doc_id", "pos").sortWithinPartitions("term"), "index")
 
@@ -65,28 +69,28 @@ def _places(phrases: DataFrame, index: DataFrame) -> DataFrame:
 
 def phrase_matches(index: DataFrame, df: DataFrame, phrases: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(phrase, doc_id, start): every place where the words of a phrase (array<string>) follow each other in a document of df,
-    of which index is the index."""
+    of which index is the index by the same key."""
     named = staged(phrases.select("phrase").distinct().select(F.xxhash64("phrase").alias("phrase_id"), "phrase"), "phrases")
     places = staged(_places(named, index), "places")
+    wanted, _ = bounded(places.where("r <= 2").select("term").distinct())
+    lists = staged(index.join(wanted, "term", "left_semi"), "lists")  # of the rarest and the second rarest words, in one reading
 
-    def listed(r: int) -> tuple[DataFrame, DataFrame]:
-        own = places.where(F.col("r") == r).select("phrase_id", "term", "off")
-        terms, _ = bounded(own.select("term").distinct())
-        return bounded(own)[0], index.join(terms, "term", "left_semi").where("doc_id IS NOT NULL")
+    def listed(r: int) -> DataFrame:
+        return bounded(places.where(F.col("r") == r).select("phrase_id", "term", "off"))[0]
 
-    rarest, postings = listed(1)
-    starts = postings.join(rarest, "term").select("phrase_id", "doc_id", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
-    second, postings = listed(2)
-    wanted = starts.join(second, "phrase_id").select("phrase_id", "start", "term", "doc_id", (F.col("start") + F.col("off")).alias("pos"))
+    starts = lists.join(listed(1), "term").select("phrase_id", "doc_id", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
+    expected = starts.join(listed(2), "phrase_id").select("phrase_id", "start", "term", "doc_id", (F.col("start") + F.col("off")).alias("pos"))
     alone = places.where("n = 1").select("phrase_id").distinct()
-    both = wanted.join(postings, ["term", "doc_id", "pos"], "left_semi").select("phrase_id", "doc_id", "start")
+    both = expected.join(lists, ["term", "doc_id", "pos"], "left_semi").select("phrase_id", "doc_id", "start")
     found = staged(both.unionByName(starts.join(bounded(alone)[0], "phrase_id", "left_semi")), "starts")
 
     candidates, _ = bounded(found.select("doc_id").distinct())
     texts = df.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).join(candidates, "doc_id", "left_semi").select("doc_id", words("text").alias("w"))
     checked = texts.join(found.join(bounded(named)[0], "phrase_id"), "doc_id")
     matches = checked.where(F.slice("w", F.col("start") + 1, F.size("phrase")) == F.col("phrase"))
-    return matches.select("phrase", "doc_id", "start").distinct()
+    matches = staged(matches.select("phrase", "doc_id", "start").distinct(), "matches")
+    drop(named, places, lists, found)
+    return matches
 
 
 def proximity(index: DataFrame, phrases: DataFrame, span: int) -> DataFrame:
@@ -97,10 +101,9 @@ def proximity(index: DataFrame, phrases: DataFrame, span: int) -> DataFrame:
     named = staged(phrases.select("phrase").distinct().select(F.xxhash64("phrase").alias("phrase_id"), "phrase"), "phrases")
     sets = named.select("phrase_id", F.array_distinct("phrase").alias("phrase"))
     places = staged(_places(sets, index), "places")
-    near = index.where("doc_id IS NOT NULL")
     anchor = places.where("r = 1").select("phrase_id", "term")
-    anchors = near.join(bounded(anchor)[0], "term").select("phrase_id", "doc_id", F.explode(F.array(*[F.floor(F.col("pos") / span) + k for k in (-1, 0, 1)])).alias("block")).distinct()
-    own = near.join(bounded(places.select("phrase_id", "term", "n"))[0], "term").withColumn("block", F.floor(F.col("pos") / span))
+    anchors = index.join(bounded(anchor)[0], "term").select("phrase_id", "doc_id", F.explode(F.array(*[F.floor(F.col("pos") / span) + k for k in (-1, 0, 1)])).alias("block")).distinct()
+    own = index.join(bounded(places.select("phrase_id", "term", "n"))[0], "term").withColumn("block", F.floor(F.col("pos") / span))
     own = own.join(anchors, ["phrase_id", "doc_id", "block"], "left_semi")
     # a stretch may cross a block's end: each posting is seen from its own block and the one before
     seen = own.withColumn("at", F.explode(F.array("block", F.col("block") - 1)))
@@ -111,20 +114,27 @@ def proximity(index: DataFrame, phrases: DataFrame, span: int) -> DataFrame:
     return full.select("phrase_id", "doc_id", "start", F.array_max(firsts).alias("end")).join(named, "phrase_id").select("phrase", "doc_id", "start", "end").distinct()
 
 
-def contamination(df: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, items) for every row of df: its words, how many of them are inside an occurrence of a
-    window of an item, and the sorted ids (as strings) of the items whose windows occur."""
-    index = build_index(df, id, text)
+def contamination(
+    df: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    width: int = WINDOW, key: str | None = None, index: DataFrame | None = None,
+) -> DataFrame:
+    """(row_key, id, n_words, n_hit, items) for every row of df: its words, how many of them are inside an occurrence of a
+    window of an item, and the sorted ids (as strings) of the items whose windows occur.
+
+    key names a column of df that no two rows share; without one, df is written with such keys first. index may be the
+    index by that key, if it is there already."""
+    rows = df.select(F.col(key).alias("row_key"), F.col(id).alias("id"), F.col(text).alias("text")) if key else keyed(df.select(F.col(id).alias("id"), F.col(text).alias("text")), "texts")
+    own_index = index is None
+    index = build_index(rows, "row_key", "text") if own_index else index
     own = staged(windows(items, item_id, item_text, width), "windows")
-    matches = staged(phrase_matches(index, df, own, id, text), "matches")
+    matches = phrase_matches(index, rows, own, "row_key", "text")
     covered = matches.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.size("phrase") - 1)).alias("pos"))
     n_hit = covered.distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
     occur = matches.select("doc_id", "phrase").distinct().join(bounded(own)[0], "phrase").select("doc_id", F.col("item_id").cast("string").alias("item")).distinct()
     of_doc = occur.groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
     hits = staged(n_hit.join(of_doc, "doc_id", "left"), "hits")
-    n_words = lengths(index)
-    out = n_words.join(bounded(hits)[0], "doc_id", "left").select(
-        F.col("doc_id").alias(id), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
-    )
-    drop(matches)
-    return out
+    n_words = staged(lengths(index), "lengths")
+    drop(matches, own, *([index] if own_index else []))
+    hit = n_words.join(bounded(hits)[0], "doc_id", "left").withColumnRenamed("doc_id", "row_key")
+    out = rows.select("row_key", "id").join(hit, "row_key")
+    return out.select("row_key", F.col("id").alias(id), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))

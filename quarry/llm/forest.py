@@ -10,8 +10,11 @@ crowded, down to the depth that the threshold allows: DEPTH for 0.85, six values
 share no prefix of FLOOR values in any tree with a probability below 1e-8, two of 0.8 with one below 1e-5, and none of
 that greatest depth with one below 1e-4.
 
-Null and empty texts have empty sets and link with nothing; texts of fewer words than a shingle are one shingle. Rows
-with a null id are returned alone, with a null component. Repeated rows get a row each. Other columns are ignored."""
+Every row has a key of its own, so a row with a null id, a repeated one, or one that stands for several texts is
+compared by its own text. Null and empty texts have empty sets and link with nothing; texts of fewer words than a
+shingle are one shingle. component_id is the least id in the component that is not null (null if there is none), kept
+whether it is the row's own; where a component has null ids only, the row of the least key is kept. first is true for
+just one row of each component: of those with the least id, that of the least key. Other columns are ignored."""
 
 from __future__ import annotations
 
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import words as W
 from quarry.llm.arrow import lean, slices
-from quarry.llm.common import bounded, components, drop, staged
+from quarry.llm.common import bounded, components, drop, keyed, rested, staged
 
 TREES, DEPTH, FLOOR = 32, 8, 5
 #: Members of different components up to which a region is compared as it is; beyond, it is parted by deeper prefixes.
@@ -52,7 +55,7 @@ def label(shingle: np.ndarray) -> np.ndarray:
     return short.view(">i8").astype(np.int64)
 
 
-def _described(df: DataFrame, id: str, text: str, width: int) -> DataFrame:
+def _described(rows: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -64,11 +67,11 @@ def _described(df: DataFrame, id: str, text: str, width: int) -> DataFrame:
                     labels.append(label(own) if len(own) else np.empty(0, dtype=np.int64))
                 offsets = np.cumsum([0, *map(len, labels)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(labels)))],
-                    names=["id", "n", "same", "label"],
+                    [batch.column("key"), batch.column("id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(labels)))],
+                    names=["key", "id", "n", "same", "label"],
                 )
 
-    return df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), "id long, n long, same binary, label array<long>")
+    return rows.mapInArrow(lean(run), "key long, id long, n long, same binary, label array<long>")
 
 
 def _sets(df: DataFrame, width: int) -> DataFrame:
@@ -101,49 +104,89 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * shared >= percent * (F.size("own_a") + F.size("own_b") - shared)).select("a", "b")
 
 
-def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row. Texts are linked if 100 * intersection >= percent * union of
-    their sets of runs of width words; component_id is the least id that can be reached, kept whether it is one's own."""
-    described = staged(_described(df, id, text, width), "described")
-    sets_of = described.where("n > 0 AND id IS NOT NULL").groupBy("same").agg(F.min("id").alias("rep"), F.first("label").alias("label"), F.count("*").alias("copies"))
+def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 85, key: str | None = None) -> DataFrame:
+    """(row_key, id, n_shingles, component_id, kept, first) for every row. Texts are linked if 100 * intersection >=
+    percent * union of their sets of runs of width words; component_id is the least id that can be reached.
+
+    key names a column of df that no two rows share; without one, df is written with such keys first."""
+    rows = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *([F.col(key).alias("key")] if key else []))
+    rows = rows if key else keyed(rows, "texts", "key")
+    spark = df.sparkSession
+    described = staged(_described(rows.select("key", "id", "text"), width), "described")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    sets_of = described.where("n > 0").groupBy("same").agg(F.min("key").alias("rep"), F.first("label").alias("label"), first)
     classes = staged(sets_of, "classes")
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.element_at("label", 2 * t + 1).alias("hi"), F.element_at("label", 2 * t + 2).alias("lo")))
     every = classes.select("rep", F.explode(trees).alias("x")).select("rep", "x.*").withColumn("part", _region(FLOOR)[2])
     shared = every.groupBy("tree", "hi", "part").agg(F.count("*").alias("members")).where("members > 1").drop("members")
     met = staged(every.join(shared, ["tree", "hi", "part"]).select("rep", "tree", "hi", "lo"), "forest")
 
-    involved, _ = bounded(met.select(F.col("rep").alias("id")).distinct())
-    texts = df.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
-    sets = staged(_sets(texts.join(involved, "id", "left_semi"), width), "sets")
+    involved, _ = bounded(met.select(F.col("rep").alias("key")).distinct())
+    texts = rows.where("text IS NOT NULL").join(involved, "key", "left_semi").select(F.col("key").alias("id"), "text")
+    sets = staged(_sets(texts, width), "sets")
+    if not key:
+        drop(rows)
     facts = staged(_linkable(sets, percent), "facts")
     forest = staged(met.join(facts.select("rep"), "rep"), "forest")
     drop(met)
-
-    # the least member of the deepest region in which there is a lesser one
-    found = forest
-    for depth in range(FLOOR, DEPTH + 1):
-        least = forest.groupBy(*_region(depth)).agg(F.min("rep").alias(f"at_{depth}"))
-        found = found.withColumn("part", _region(depth)[2]).join(least, ["tree", "hi", "part"]).drop("part")
-    other = F.coalesce(*[F.when(F.col(f"at_{d}") < F.col("rep"), F.col(f"at_{d}")) for d in range(DEPTH, FLOOR - 1, -1)])
-    candidates = staged(found.select(F.col("rep").alias("b"), other.alias("a")).where("a IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("trees")), "candidates")
-
-    best = candidates.groupBy("b").agg(F.max_by("a", F.struct("trees", -F.col("a"))).alias("a"))
-    links = staged(_confirmed(best, sets, percent), "links")
-    roots = staged(components(links), "roots")
-
-    rest = _apart(candidates.join(best, ["a", "b"], "left_anti"), roots)
-    links = links.unionByName(staged(_confirmed(rest, sets, percent), "links"))
-    roots = staged(components(links), "roots")
-
-    rest = _within_regions(forest, facts, roots, percent).join(candidates.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.unionByName(staged(_confirmed(rest, sets, percent), "links"))
-    roots = components(links)
-    drop(forest, facts, candidates, sets)
-
-    of_class = classes.select("same", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("same", F.coalesce("component_id", "rep").alias("root"))
-    out = described.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("same")).alias("same")).join(of_class, "same", "left")
-    root = F.coalesce("root", "id")
-    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(True)).alias("kept"))
+    rested(spark)
+
+    candidates = _deepest_lesser(forest)
+    best = staged(candidates.groupBy("b").agg(F.max_by("a", F.struct("trees", -F.col("a"))).alias("a")), "best")
+    links = [staged(_confirmed(best, sets, percent), "links")]
+    roots = components(links[0])
+
+    rest = staged(_apart(candidates.join(best, ["a", "b"], "left_anti"), roots), "rest")
+    links.append(staged(_confirmed(rest, sets, percent), "links"))
+    drop(rest, best, roots)
+    roots = components(_all(links))
+    rested(spark)
+
+    rest = _within_regions(forest, facts, roots, percent)
+    drop(forest, facts)
+    rested(spark)
+    links.append(staged(_confirmed(rest.join(candidates.select("a", "b"), ["a", "b"], "left_anti"), sets, percent), "links"))
+    drop(rest, candidates, sets, roots)
+    roots = components(_all(links))
+    drop(*links)
+
+    of_class = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("same", "first", F.coalesce("component_id", "rep").alias("root"))
+    of_class = staged(of_class, "of_class")
+    of_root = of_class.groupBy("root").agg(F.min("first").alias("first"))
+    of_class = staged(of_class.select("same", "root").join(of_root, "root").select("same", "first"), "members")
+    drop(classes, roots)
+    out = described.select("key", "id", "n", F.when(F.col("n") > 0, F.col("same")).alias("same")).join(of_class, "same", "left")
+    alone = F.col("first").isNull()
+    root = F.when(alone, F.col("id")).otherwise(F.col("first.id"))
+    chosen = alone | (F.col("first.key") == F.col("key"))
+    return out.select(
+        F.col("key").alias("row_key"), F.col("id").alias(id), F.col("n").alias("n_shingles"), root.alias("component_id"),
+        F.coalesce(F.col("id") == root, root.isNull() & chosen).alias("kept"), chosen.alias("first"),
+    )
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _deepest_lesser(forest: DataFrame) -> DataFrame:
+    """(a, b, trees): for each member b of a tree the least member a of the deepest region in which a lesser one is, and
+    in how many trees that is so. From the deepest level up, only members without such a partner go on."""
+    left, found, levels = forest.select("rep", "tree", "hi", "lo"), [], []
+    for depth in range(DEPTH, FLOOR - 1, -1):
+        here = left.withColumn("part", _region(depth)[2])
+        # members that have a partner still count as partners of others
+        least = forest.withColumn("part", _region(depth)[2]).groupBy("tree", "hi", "part").agg(F.min("rep").alias("a"))
+        level = staged(here.join(least, ["tree", "hi", "part"]), "level")
+        found.append(level.where("a < rep").select("a", F.col("rep").alias("b")))
+        left = level.where("a >= rep").select("rep", "tree", "hi", "lo")
+        levels.append(level)
+    out = staged(_all(found).groupBy("a", "b").agg(F.count("*").alias("trees")), "candidates")
+    drop(*levels)
+    return out
 
 
 def _component(roots: DataFrame, side: str) -> DataFrame:
@@ -178,17 +221,22 @@ def _within_regions(forest: DataFrame, facts: DataFrame, roots: DataFrame, perce
     suffice for a link."""
     most = F.least("common", "common_x") + F.size(F.array_intersect("rare", "rare_x"))
     left = forest.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "tree", "hi", "lo", F.coalesce("component_id", "rep").alias("of"))
-    pairs, deepest = None, _deepest(percent)
+    pairs, deepest = [], _deepest(percent)
     for depth in range(FLOOR, deepest + 1):
         here = staged(left.withColumn("part", _region(depth)[2]), "region")
+        drop(left)
         by_component = here.groupBy("tree", "hi", "part", "of").agg(F.count("*").alias("k"))
         regions = by_component.groupBy("tree", "hi", "part").agg(F.max_by("of", F.struct("k", "of")).alias("largest"), F.sum("k").alias("members"), F.max("k").alias("most")).where("members > most")
-        known = here.join(regions, ["tree", "hi", "part"])
+        known = staged(here.join(regions, ["tree", "hi", "part"]), "region")
+        drop(here)
         open_now = (known if depth == deepest else known.where(F.col("members") - F.col("most") <= CROWDED)).join(facts, "rep")
         strangers = open_now.where("of <> largest").select("tree", "hi", "part", F.col("rep").alias("x"), F.col("of").alias("of_x"), F.col("n").alias("n_x"), F.col("common").alias("common_x"), F.col("rare").alias("rare_x"))
         able = 100 * most >= percent * (F.col("n") + F.col("n_x") - most)
         met = open_now.join(strangers, ["tree", "hi", "part"]).where((F.col("of") != F.col("of_x")) & able).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
-        pairs = met if pairs is None else pairs.unionByName(met)
+        pairs.append(staged(met, "pairs"))
         if depth < deepest:
-            left = known.where(F.col("members") - F.col("most") > CROWDED).select("rep", "tree", "hi", "lo", "of")
-    return pairs.distinct()
+            left = staged(known.where(F.col("members") - F.col("most") > CROWDED).select("rep", "tree", "hi", "lo", "of"), "crowded")
+        drop(known)
+    out = staged(_all(pairs).distinct(), "pairs")
+    drop(*pairs)
+    return out

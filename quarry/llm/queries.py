@@ -162,7 +162,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forest.near_duplicates(table(spark, sf_dir, "documents"))
+    return forest.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 ORACLES["op6_near_duplicates"] = r"""
