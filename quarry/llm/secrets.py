@@ -7,16 +7,22 @@ those scores and the transitions. A token whose O outweighs B and I by more than
 every best path; only the stretches between such tokens need the recursion, so long texts cost little more than a look
 at each token.
 
-The field is fitted on the driver, on windows from at most SAMPLE documents, the first by a hash of their id (the
+Runs of more than LONG characters, such as minified code, are cut after quotes, commas, brackets and the like, and each
+part is a token of its own, so features always speak of the whole of a token.
+
+The field is fitted in one task, on windows from at most SAMPLE documents, the first by a hash of their id (the
 bound is the parameter sample): windows around what the patterns find, windows without, and the latter with invented
 keys written into them. Every document is scanned, by its whole text.
 
+The patterns' spans always stay; of the field's spans what no pattern covers, if it holds a letter or a digit.
+
 Null text counts as empty: no spans. Rows are independent, so repeated ids are no matter. Other columns stay."""
 
 from __future__ import annotations
 
 import re
 import string
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +42,8 @@ MEMO_TOKENS = 250_000
 OUT, BEGIN, INSIDE = 0, 1, 2
 #: Characters that a span of the field has at least, as the patterns ask for too.
 LEAST = 12
+#: Characters from which on a run without white space is cut at separators.
+LONG = 64
 
 #: The patterns, each with the least length of what counts (fixed values of the contract).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -61,14 +69,36 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+_PARTS = re.compile(r"""[^"'`,;&?|(){}\[\]<>]*["'`,;&?|(){}\[\]<>]*""")
+
+
+def tokens_of(text: str) -> list[str]:
+    """The tokens of a text: its runs without white space, long ones in parts."""
+    runs = text.split()
+    if len(text) < LONG or max(map(len, runs), default=0) <= LONG:
+        return runs
+    return [t for run in runs for t in ([run] if len(run) <= LONG else filter(None, _PARTS.findall(run)))]
+
+
+def places_of(text: str) -> list[tuple[int, int]]:
+    """Where those tokens start and end."""
+    out = []
+    for m in re.finditer(r"\S+", text):
+        if m.end() - m.start() <= LONG:
+            out.append(m.span())
+        else:
+            out += [(m.start() + p.start(), m.start() + p.end()) for p in _PARTS.finditer(m[0]) if p[0]]
+    return out
+
+
 def _shape(token: str) -> str:
-    """Kinds of characters, each run of one kind as one letter."""
+    """Kinds of characters, each run of one kind as one letter; of many runs the first and the last."""
     out = []
-    for c in token[:64]:
+    for c in token:
         k = "d" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c if c in "=:_-+/.\"'" else "s"
         if not out or out[-1] != k:
             out.append(k)
-    return "".join(out[:12])
+    return "".join(out if len(out) <= 12 else out[:9] + out[-3:])
 
 
 def _own(token: str) -> list[str]:
@@ -77,9 +107,8 @@ def _own(token: str) -> list[str]:
         return ["plain", f"plain{min(len(word), 60) // 10}"]
     digits, upper = sum(map(str.isdigit, token)), sum(map(str.isupper, token))
     letters = sum(map(str.isalpha, token))
-    few = token[:64]
-    spread = len(set(few)) / max(1, len(few))
-    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(few, few[1:], strict=False))
+    spread = min(1.0, len(set(token)) / max(1, min(len(token), 64)))
+    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:], strict=False))
     return [
         f"shape={_shape(token)}", f"n{min(len(token), 80) // 4}", f"digits{min(4, 5 * digits // len(token))}", f"upper{min(4, 5 * upper // len(token))}", f"signs{min(4, 5 * (len(token) - digits - letters) // len(token))}",
         f"spread{int(5 * spread)}", f"turns{min(turns, 9)}", f"turns{min(turns, 9)}n{min(len(token), 80) // 8}", f"first={token[:3]}", "key" if ("=" in token or ":" in token) else "nokey", _word(token) if letters == len(token) else "noword",
@@ -214,10 +243,10 @@ class Tagger:
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         """Spans of tokens tagged B and I, of LEAST characters at least."""
-        tags = self.tags(text.split(), file_features(text))
+        tags = self.tags(tokens_of(text), file_features(text))
         if not tags.any():
             return []
-        out, places = [], [m.span() for m in re.finditer(r"\S+", text)]
+        out, places = [], places_of(text)
         for k in np.flatnonzero(tags).tolist():
             start, end = places[k]
             if tags[k] == INSIDE and k and tags[k - 1] != OUT:
@@ -227,21 +256,47 @@ class Tagger:
         return [s for s in out if s[2] - s[1] >= LEAST]
 
     def all_spans(self, text: str | None) -> list[tuple[str, int, int]]:
-        """The patterns' spans, and the field's that touch none of them, by start, then kind as listed."""
+        """The patterns' spans, and of the field's what they leave uncovered, by start, then kind as listed."""
         if not text:
             return []
         base = base_spans(text)
-        more = [s for s in self.spans(text) if not any(s[1] < e and b < s[2] for _, b, e in base)]
+        more = [s for s in uncovered(self.spans(text), base) if any(map(str.isalnum, text[s[1] : s[2]]))]
         return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def uncovered(spans: list[tuple[str, int, int]], by: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The parts of spans that no span of by covers; both are sorted by start, and one sweep goes over both."""
+    merged: list[list[int]] = []
+    for _, start, end in by:
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([start, end])
+    out, k = [], 0
+    for kind, start, end in spans:
+        while k < len(merged) and merged[k][1] <= start:
+            k += 1
+        i = k
+        while i < len(merged) and merged[i][0] < end:
+            if start < merged[i][0]:
+                out.append((kind, start, merged[i][0]))
+            start = max(start, merged[i][1])
+            i += 1
+        if start < end:
+            out.append((kind, start, end))
+    return out
+
+
 def tagged(text: str) -> tuple[list[str], list[int]]:
     """The tokens of a text, and their tags by the patterns."""
-    tokens, tags, spans = [], [], base_spans(text)
-    for m in re.finditer(r"\S+", text):
-        tokens.append(m[0])
-        own = [s for s in spans if s[1] < m.end() and m.start() < s[2]]
-        tags.append(OUT if not own else INSIDE if any(s[1] < m.start() for s in own) else BEGIN)
+    tokens, tags, spans, k = [], [], base_spans(text), 0
+    ends = np.maximum.accumulate([e for _, _, e in spans]).tolist() if spans else []
+    for start, end in places_of(text):
+        tokens.append(text[start:end])
+        while k < len(spans) and ends[k] <= start:
+            k += 1
+        own = k < len(spans) and spans[k][1] < end
+        tags.append(OUT if not own else INSIDE if spans[k][1] < start else BEGIN)
     return tokens, tags
 
 
@@ -287,7 +342,7 @@ def fit(windows: list[tuple[list[str], list[int], list[str]]]) -> Field:
     if not windows:
         return Field(np.zeros((BUCKETS, 3)), np.zeros((3, 3)))
     n, longest = len(windows), max(len(t) for t, _, _ in windows)
-    feature, place = [], []
+    feature, place = array("i"), array("i")
     gold = np.zeros((n, longest), dtype=np.int64)
     there = np.zeros((n, longest), dtype=bool)
     for k, (tokens, tags, file) in enumerate(windows):
@@ -297,9 +352,9 @@ def fit(windows: list[tuple[list[str], list[int], list[str]]]) -> Field:
             own = _ids("", _own(token)) + of_file
             own += _ids("<", _beside(tokens[i - 1]) if i else ["edge"])
             own += _ids(">", _beside(tokens[i + 1]) if i + 1 < len(tokens) else ["edge"])
-            feature += own
-            place += [k * longest + i] * len(own)
-    feature, place = np.array(feature), np.array(place)
+            feature.extend(own)
+            place.extend([k * longest + i] * len(own))
+    feature, place = np.frombuffer(feature, dtype=np.int32), np.frombuffer(place, dtype=np.int32)
     w, moves = np.zeros((BUCKETS, 3)), np.zeros((3, 3))
     total = there.sum()
     wanted = np.stack([np.bincount(feature, weights=((gold.ravel() == t) & there.ravel())[place], minlength=BUCKETS) for t in range(3)], axis=1)
@@ -340,8 +395,8 @@ def fit(windows: list[tuple[list[str], list[int], list[str]]]) -> Field:
 
 def train(df: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Field:
     """Fit on windows from the first sample rows by a hash of their id: up to PER_KIND around what the patterns find, twice as
-    many without it, and those once more with an invented secret and with an invented token that is none. At most one window a document reaches the driver."""
-    chosen = F.broadcast(df.select(F.col(id).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample))
+    many without it, and those once more with an invented secret and with an invented token that is none. A document gives one window at most."""
+    chosen = F.broadcast(df.select(F.col(id).alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(sample))
     some = df.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL").join(chosen, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,15 +423,33 @@ def train(df: DataFrame, id: str = "doc_id", text: str = "text", sample: int = S
 
     found = some.mapInArrow(lean(run), "place long, hit boolean, tokens array<string>, tags array<int>, file array<string>")
     found = found.groupBy("hit", "place").agg(*[F.min(c).alias(c) for c in ("tokens", "tags", "file")])
-    own = [tuple(x) for x in found.where("hit").orderBy("place", "tokens").limit(PER_KIND).select("tokens", "tags", "file").collect()]
-    none = [tuple(x) for x in found.where("NOT hit").orderBy("place", "tokens").limit(2 * PER_KIND).select("tokens", "tags", "file").collect()]
-    rng, more = np.random.default_rng(11), []
-    for tokens, tags, file in none[:PER_KIND]:
+    some = found.where("hit").orderBy("place", "tokens").limit(PER_KIND).unionByName(found.where("NOT hit").orderBy("place", "tokens").limit(2 * PER_KIND))
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, none = [], []
+        for batch in batches:
+            for hit, *window in zip(*[batch.column(n).to_pylist() for n in ("hit", "tokens", "tags", "file")], strict=True):
+                (own if hit else none).append(tuple(window))
+        made = fit(own + none + _written_into(none[:PER_KIND]))
+        yield pa.RecordBatch.from_arrays([pa.array([made.weights.tobytes()]), pa.array([made.moves.tobytes()]), pa.array([sorted(made.words)], pa.list_(pa.string()))], names=["weights", "moves", "words"])
+
+    one = some.repartition(1).sortWithinPartitions("hit", "place", "tokens")  # at most 3 * PER_KIND rows
+    got = one.mapInArrow(lean(fitted), "weights binary, moves binary, words array<string>").collect()
+    if not got:  # no partition, so no row
+        return fit([])
+    weights, moves = (np.frombuffer(bytes(got[0][n]), dtype=np.float64).reshape(-1, 3) for n in ("weights", "moves"))
+    return Field(weights, moves, frozenset(got[0]["words"]))
+
+
+def _written_into(windows: list[tuple]) -> list[tuple]:
+    """Each window once with an invented secret, and once with an invented token that is none."""
+    rng, out = np.random.default_rng(11), []
+    for tokens, tags, file in windows:
         at, secret = int(rng.integers(len(tokens) + 1)), _invented(rng)
-        more.append((tokens[:at] + secret + tokens[at:], tags[:at] + [BEGIN] + [INSIDE] * (len(secret) - 1) + tags[at:], file))
+        out.append((tokens[:at] + secret + tokens[at:], tags[:at] + [BEGIN] + [INSIDE] * (len(secret) - 1) + tags[at:], file))
         other = _ordinary(rng)
-        more.append((tokens[:at] + other + tokens[at:], tags[:at] + [OUT] * len(other) + tags[at:], file))
-    return fit(own + none + more)
+        out.append((tokens[:at] + other + tokens[at:], tags[:at] + [OUT] * len(other) + tags[at:], file))
+    return out
 
 
 def scan(df: DataFrame, field: Field, text: str = "text", spans: str = "secret_spans", redacted: str | None = None, mask: str = "[SECRET]") -> DataFrame:
