@@ -30,11 +30,15 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 
 
-def words(text: str) -> Column:
-    """The words of a text; A-Z alone are lower-cased (lower() does the same to ASCII, and faster)."""
+def lowered(text: str) -> Column:
+    """The text with A-Z alone lower-cased, null as empty (lower() does the same to ASCII, and faster)."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    low = F.when(F.length(t) == F.octet_length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
-    return F.array_remove(F.split(low, BETWEEN), "")
+    return F.when(F.length(t) == F.octet_length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
+
+
+def words(text: str) -> Column:
+    """The words of a text."""
+    return F.array_remove(F.split(lowered(text), BETWEEN), "")
 
 
 def build_index(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

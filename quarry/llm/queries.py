@@ -90,14 +90,16 @@ WITH given(license, text) AS (VALUES """
     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM given
 ), tr AS (
-  SELECT DISTINCT license, array_to_string(ws[i:i + 4], ' ') AS run FROM (SELECT license, ws, unnest(range(1, len(ws) - 3)) AS i FROM t)
+  SELECT DISTINCT license, least(len(ws), 5) AS k, array_to_string(ws[i:i + least(len(ws), 5) - 1], ' ') AS run
+  FROM (SELECT license, ws, unnest(range(1, len(ws) - least(len(ws), 5) + 2)) AS i FROM t)
 ), size AS (
-  SELECT t.license, greatest(1, (len(any_value(ws)) - 4) // 4) AS s, len(any_value(ws)) + greatest(1, (len(any_value(ws)) - 4) // 4) - 5 AS held, count(*) AS n
-  FROM t JOIN tr USING (license) GROUP BY t.license
+  SELECT license, greatest(1, (any_value(m) - 4) // 4) AS s, any_value(m) + greatest(1, (any_value(m) - 4) // 4) - any_value(k) AS held, count(*) AS n
+  FROM (SELECT license, k, run, len(ws) AS m FROM t JOIN tr USING (license)) GROUP BY license
 ), dr AS (
-  SELECT doc_id, i - 1 AS pos, array_to_string(ws[i:i + 4], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
+  SELECT doc_id, k, i - 1 AS pos, array_to_string(ws[i:i + k - 1], ' ') AS run
+  FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT DISTINCT k FROM tr) WHERE len(ws) >= k)
 ), hit AS (
-  SELECT dr.doc_id, tr.license, dr.pos, dr.run FROM dr JOIN tr USING (run)
+  SELECT dr.doc_id, tr.license, dr.pos, dr.run FROM dr JOIN tr USING (k, run)
 ), win AS (
   SELECT DISTINCT hit.doc_id, hit.license, s, held, n, hit.run, unnest(range(greatest(0, CAST(ceil((pos - held + 1) / s) AS BIGINT)), pos // s + 1)) AS k
   FROM hit JOIN size USING (license)
