@@ -6,11 +6,18 @@ the threshold give components. A list whose entries all pass the threshold is sa
 to other components. Vectors with such lists get further lists, of vectors of other components only, by the same orders
 and rounds, and what passes the threshold joins components, until a search finds no more. The links of a vector are
 then counted by comparing its component in blocks, exactly. Links lie within components, so what can be missed is a
-link between two of them: an audit compares AUDIT vectors, the first by a hash of their id, with all vectors, and while
-it finds links that are missing, there are further orders and rounds.
-
-Vectors that are null, zero or of no elements, or hold null or non-finite elements, link with nothing; so do rows with
-a null id, whose component is null. Vectors of different lengths do not link. Equal vectors are compared once and
+link between two of them.
+
+An audit measures that: it compares AUDIT vectors, the first by a hash of their key, and as many of those with links
+with all vectors, and takes more of the former (up to AUDIT_MOST) until it has seen ENOUGH links. While it finds too
+many links missing there are further orders and rounds; if REPAIRS searches do not bring the recall to RECALL, the
+components are found exactly, by comparing all vectors in blocks. near_duplicates(report=[]) gets for each length of
+vectors the recall before anything the audit saw was added, None if there were no links to see.
+
+Every row has a key of its own, so rows with a null id, a repeated one, or one that stands for several vectors count as
+vectors of their own. component_id is the least id of the component that is not null; of a component with null ids
+only, it is null and the row of the least key is kept. Vectors that are null, zero or of no elements, or hold null or
+non-finite elements, link with nothing. Vectors of different lengths do not link. Equal vectors are compared once and
 count as many times as they occur. Other columns are ignored."""
 
 from __future__ import annotations
@@ -27,7 +34,8 @@ from quarry.llm.common import components, drop, staged
 
 log = logging.getLogger(__name__)
 
-K, ORDERS, NEAR, ROUNDS, AUDIT, REPAIRS = 10, 16, 6, 4, 256, 4
+K, ORDERS, NEAR, ROUNDS, REPAIRS = 10, 16, 6, 4, 4
+AUDIT, AUDIT_MOST, ENOUGH, RECALL = 256, 8192, 500, 0.999
 BLOCK = 512
 #: A refinement ends when at most this share of list entries is new.
 SETTLED = 0.01
@@ -40,7 +48,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def _vectors(df: DataFrame, id: str, vector: str) -> DataFrame:
-    """(id, dim, x): x the unit vector as binary doubles, null where it links with nothing."""
+    """(key, id, dim, x): x the unit vector as binary doubles, null where it links with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,9 +58,10 @@ def _vectors(df: DataFrame, id: str, vector: str) -> DataFrame:
                 top = np.abs(a).max()
                 a = a / top if np.isfinite(top) and top > 0 else None
                 out.append(None if a is None else (a / np.sqrt(a @ a)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) // 8 if x else 0 for x in out], pa.int32()), pa.array(out, pa.binary())], names=["id", "dim", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), pa.array([len(x) // 8 if x else 0 for x in out], pa.int32()), pa.array(out, pa.binary())], names=["key", "id", "dim", "x"])
 
-    return df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "id long, dim int, x binary")
+    rows = df.select(F.monotonically_increasing_id().alias("key"), F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    return rows.mapInArrow(run, "key long, id long, dim int, x binary")
 
 
 def _ordered(vectors: DataFrame, dim: int, seed: int) -> DataFrame:
@@ -161,31 +170,72 @@ def _star(of: DataFrame) -> DataFrame:
     return of.select(F.col("id").alias("v"), F.col("component_id").alias("u"))
 
 
-def _audited(vectors: DataFrame, least: float) -> DataFrame:
-    """All edges of at least the threshold of AUDIT vectors, by comparison with every vector."""
-    chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(AUDIT).collect()
-    ids, x = np.array([r["id"] for r in chosen]), np.stack([np.frombuffer(r["x"], dtype=np.float64) for r in chosen])
+def _audited(vectors: DataFrame, chosen: DataFrame, most: int, least: float) -> DataFrame:
+    """All edges of at least the threshold of chosen vectors (at most that many), by comparison with every vector."""
+    got = chosen.select("id", "x").limit(most).collect()
+    ids, x = np.array([r["id"] for r in got], dtype=np.int64), np.stack([np.frombuffer(r["x"], dtype=np.float64) for r in got])
     shared = vectors.sparkSession.sparkContext.broadcast((ids, x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x = shared.value
         for batch in batches:
             if batch.num_rows:
-                own = batch.column("id").to_numpy()
-                sim = x @ _matrix(batch.column("x")).T
-                a, b = np.nonzero(sim >= least)
-                other = ids[a] != own[b]
-                a, b = a[other], b[other]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(own[b]), pa.array(sim[a, b])], names=["v", "u", "sim"])
-
-    return vectors.select("id", "x").mapInArrow(run, "v long, u long, sim double")
-
-
-def _links(vectors: DataFrame, dim: int, least: float) -> tuple[DataFrame, float]:
+                own, there = batch.column("id").to_numpy(), _matrix(batch.column("x"))
+                for i in range(0, len(ids), BLOCK):
+                    sim = x[i : i + BLOCK] @ there.T
+                    a, b = np.nonzero(sim >= least)
+                    other = ids[i + a] != own[b]
+                    a, b = a[other], b[other]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + a]), pa.array(own[b]), pa.array(sim[a, b])], names=["v", "u", "sim"])
+
+    out = staged(vectors.select("id", "x").mapInArrow(run, "v long, u long, sim double"), "audit")
+    shared.destroy()
+    return out
+
+
+def _truth(vectors: DataFrame, of: DataFrame, least: float) -> DataFrame:
+    """The links of the audited vectors: some with links found, and some of all, more of these until there are enough."""
+    order = [F.xxhash64("id"), F.col("id")]
+    total, size, out = vectors.count(), AUDIT, None
+    linked = vectors.join(of.select("id"), "id", "left_semi").orderBy(*order)
+    if linked.limit(1).count():
+        out = _audited(vectors, linked, AUDIT, least)
+    while True:
+        some = _audited(vectors, vectors.orderBy(*order), size, least)
+        if size >= min(total, AUDIT_MOST) or some.count() >= ENOUGH:
+            return some if out is None else out.unionByName(some).distinct()
+        drop(some)
+        size *= 4
+
+
+def _exactly(vectors: DataFrame, least: float) -> DataFrame:
+    """(id, component_id) by comparing all vectors in blocks: the way that needs no luck, and n * n products. Each pair
+    of blocks sends on a star for each component of the two, so rows stay few."""
+    blocks = max(1, -(-vectors.count() // BLOCK))
+    rows = vectors.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "x")
+
+    def linked(table: pa.Table) -> pa.Table:
+        ids, x = table["id"].to_numpy(), _matrix(table["x"].combine_chunks())
+        a, b = np.nonzero(x @ x.T >= least)
+        root = np.arange(len(ids))
+        while True:  # the least place that can be reached
+            new = root.copy()
+            np.minimum.at(new, a, root[b])
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        far = root != np.arange(len(ids))
+        return pa.table({"v": ids[far], "u": ids[root[far]]})
+
+    return components(rows.groupBy("i", "j").applyInArrow(linked, "v long, u long"), "v", "u")
+
+
+def _links(vectors: DataFrame, dim: int, least: float) -> tuple[DataFrame, float | None]:
     """(id, component_id) of vectors with links, and the recall of links that the last audit measured."""
     vectors = vectors.withColumn("of", F.col("id"))
-    truth = staged(_audited(vectors, least), "audit")
-    lists, recall = None, 0.0
+    truth, lists, recall = None, None, None
     for repair in range(REPAIRS):
         start = _ordered(vectors, dim, 7 + repair)
         if lists is not None:
@@ -193,14 +243,16 @@ def _links(vectors: DataFrame, dim: int, least: float) -> tuple[DataFrame, float
         lists = _refined(_best(start), vectors)
         found = components(lists.where(F.col("sim") >= least), "v", "u")
         of = _bridged(vectors, lists, staged(found, "components"), dim, 7 + repair, least)
+        truth = staged(_truth(vectors, of, least), "truth") if truth is None else truth
         side = lambda n: of.select(F.col("id").alias(n), F.col("component_id").alias(f"of_{n}"))
-        checked = truth.join(side("v"), "v", "left").join(side("u"), "u", "left").agg(F.count("*"), F.count(F.when(F.col("of_v") == F.col("of_u"), 1))).first()
-        recall = checked[1] / checked[0] if checked[0] else 1.0
-        if recall == 1.0:
-            break
-    if recall < 1.0:  # what the audit saw is known, so it counts
-        of = staged(components(_star(of).unionByName(truth.select("v", "u")), "v", "u"), "components")
-    return of, recall
+        seen, same = truth.join(side("v"), "v", "left").join(side("u"), "u", "left").agg(F.count("*"), F.count(F.when(F.col("of_v") == F.col("of_u"), 1))).first()
+        recall = same / seen if seen else None
+        if recall in (None, 1.0):
+            return of, recall
+    if recall < RECALL:
+        log.warning("%d dimensions: recall of links %.4f after %d searches; comparing all vectors in blocks", dim, recall, REPAIRS)
+        return _exactly(vectors, least), recall
+    return staged(components(_star(of).unionByName(truth.select("v", "u")), "v", "u"), "components"), recall  # what the audit saw counts
 
 
 def _counted(vectors: DataFrame, of: DataFrame, least: float) -> DataFrame:
@@ -223,21 +275,28 @@ def _counted(vectors: DataFrame, of: DataFrame, least: float) -> DataFrame:
     return rows.groupBy("component_id", "i", "j").applyInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding", least: float = 0.95) -> DataFrame:
-    """(id, n_links, component_id, kept) for every row of df."""
+def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding", least: float = 0.95, report: list | None = None) -> DataFrame:
+    """(id, n_links, component_id, kept) for every row of df. A report gets (length of vectors, audited recall)."""
     rows = staged(_vectors(df, id, vector), "vectors")
-    usable = rows.where("x IS NOT NULL AND id IS NOT NULL")
-    classes = staged(usable.groupBy("dim", "x").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "classes")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    classes = staged(rows.where("x IS NOT NULL").groupBy("dim", "x").agg(F.min("key").alias("rep"), F.count("*").alias("weight"), first), "classes")
     facts = None
     for (dim,) in sorted(tuple(r) for r in classes.select("dim").distinct().collect()):
-        own = classes.where(F.col("dim") == dim)
+        own = classes.where(F.col("dim") == dim).select(F.col("rep").alias("id"), "x", "weight")
         of, recall = _links(own, dim, least)
-        log.info("%d dimensions, audited recall of links %.4f", dim, recall)
-        here = own.select("x", "id", "weight").join(of, "id", "left").join(_counted(own, of, least), "id", "left")
+        log.info("%d dimensions, audited recall of links %s", dim, recall)
+        if report is not None:
+            report.append((dim, recall))
+        here = own.select("id", "weight").join(of, "id", "left").join(_counted(own, of, least), "id", "left")
         facts = here if facts is None else facts.unionByName(here)
     if facts is None:
         return rows.select(F.col("id").alias(id), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    facts = facts.select(F.col("x"), F.coalesce("component_id", "id").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = rows.withColumn("x", F.when(F.col("id").isNotNull(), F.col("x"))).select("id", "x").join(facts, "x", "left")
-    root = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(True)).alias("kept"))
+    facts = facts.select(F.col("id").alias("rep"), F.coalesce("component_id", "id").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    known = staged(classes.select("x", "rep", "first").join(facts, "rep"), "facts")
+    of_root = known.groupBy("root").agg(F.min("first").alias("first"))
+    known = known.select("x", "root", "n_links").join(of_root, "root").drop("root")
+    out = rows.select("key", "id", "x").join(known, "x", "left")
+    alone = F.col("first").isNull()
+    root = F.when(alone, F.col("id")).otherwise(F.col("first.id"))
+    kept = F.coalesce(F.col("id") == root, root.isNull() & (alone | (F.col("first.key") == F.col("key"))))
+    return out.select(F.col("id").alias(id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), kept.alias("kept"))
