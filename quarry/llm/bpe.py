@@ -31,6 +31,10 @@ MEMO_PIECES = 300_000
 #: The pre-tokenizer's pattern of byte-level BPE files with use_regex (fixed value, as published with the vocabulary).
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Characters of a text that are cut into pieces at once; and how far beyond its end a piece may depend on what follows (a
+#: contraction is told by three characters, white space by the next).
+AHEAD, SIGHT = 512, 3
+
 #: Characters whose letter, number and space classes have long been settled in all Unicode versions; a text with
 #: others is cut by the tokenizer library itself, whose Unicode tables may be of another version.
 UNSETTLED = regex.compile(r"[^\u0000-\u0557\u2000-\u206f\u20a0-\ua48c\uac00-\ud7a3]")
@@ -88,15 +92,42 @@ class Coder:
     def _piece(self, piece: str) -> bytes:
         return b"".join(array("i", self._merge(fragment)).tobytes() for fragment in self.fragments(piece.encode()))
 
-    def pieces(self, text: str) -> list[str]:
-        """What the pre-tokenizer makes of a text without added tokens."""
-        if text.isascii() or not UNSETTLED.search(text):
-            return self._pieces.findall(text)
+    def _library(self, text: str) -> list[tuple[int, int]]:
+        """Where pieces start and end, by the tokenizer library."""
         if self._slow is None:
             from tokenizers import Tokenizer
 
             self._slow = Tokenizer.from_str(self._text).pre_tokenizer
-        return [text[i:j] for _, (i, j) in self._slow.pre_tokenize_str(text)]
+        return [place for _, place in self._slow.pre_tokenize_str(text)]
+
+    def pieces(self, text: str) -> list[str]:
+        """What the pre-tokenizer makes of a text without added tokens."""
+        if text.isascii() or not UNSETTLED.search(text):
+            return self._pieces.findall(text)
+        return [text[i:j] for i, j in self._library(text)]
+
+    def scan(self, text: str, at: int = 0) -> Iterator[tuple[int, int]]:
+        """Where pieces and added tokens start and end, one after the other from a place between two; as little of the
+        text is looked at as the caller takes, whatever its script."""
+        while at < len(text):
+            found = self._added.search(text, at) if self._added else None
+            stop = found.start() if found else len(text)
+            yield from self._stretch(text, at, stop)
+            at = stop
+            if found:
+                yield found.span()
+                at = found.end()
+
+    def _stretch(self, text: str, at: int, stop: int) -> Iterator[tuple[int, int]]:
+        size = AHEAD
+        while at < stop:
+            part = text[at : min(stop, at + size)]
+            places = [m.span() for m in self._pieces.finditer(part)] if part.isascii() or not UNSETTLED.search(part) else self._library(part)
+            # where the part ends within the text, only pieces stay that no character beyond it can change
+            sure = places if at + size >= stop else [(i, j) for i, j in places if j <= len(part) - SIGHT]
+            yield from ((at + i, at + j) for i, j in sure)
+            size = AHEAD if sure else 4 * size
+            at += sure[-1][1] if sure else 0
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian int32."""

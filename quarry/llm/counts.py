@@ -7,8 +7,8 @@ and cuts the new text into pre-tokens from there until a boundary meets that of
 never look back, so all that follows stays as it was. Only this stretch is encoded anew, and only sums above its leaves
 change. If it needs more leaves than it had, the tree is built again from its leaves, without encoding anything else.
 
-Texts that hold an added token's string, or characters whose class differs between Unicode versions, before or after
-an edit, are encoded whole (their boundaries do look further).
+Added tokens' strings are pieces like others; as an edit may complete one that begins before it, the stretch starts as
+many characters further left as the longest of them has. This holds for every script.
 
 Null text is the empty text. An edit's start and length are clamped to the text; null ones are 0, null insertions
 empty. A null or empty list of edits changes nothing. Rows are independent. Other columns stay."""
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.arrow import extended, slices
-from quarry.llm.bpe import UNSETTLED, Coder, coder
+from quarry.llm.bpe import SIGHT, Coder, coder
 
 LEAF = 256
 EDITS = "array<struct<start: int, deleted: int, inserted: string>>"
@@ -55,19 +55,14 @@ class Document:
     def n_tokens(self) -> int:
         return int(self.tokens[1])
 
-    def _simple(self, text: str) -> bool:
-        return not any(x in text for x in self.c.added) and (text.isascii() or not UNSETTLED.search(text))
-
     def _count(self, piece: str) -> int:
-        return len(self.c._memo[piece]) // 4
+        return 1 if piece in self.c.added else len(self.c._memo[piece]) // 4
 
     def _pieces(self, text: str) -> list[tuple[int, int]]:
-        """Characters and tokens of each pre-token, or of the whole text as one if it is not simple."""
-        if not text:
-            return []
-        if not self._simple(text):
-            return [(len(text), len(self.c.encode(text)) // 4)]
-        return [(len(p), self._count(p)) for p in self.c.pieces(text)]
+        """Characters and tokens of each pre-token and added token."""
+        if not any(x in text for x in self.c.added):
+            return [(len(p), self._count(p)) for p in self.c.pieces(text)]
+        return [(j - i, self._count(text[i:j])) for i, j in self.c.scan(text)]
 
     def _leaves(self, pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
         out, chars, tokens = [], 0, 0
@@ -101,30 +96,40 @@ class Document:
             self.tokens[node] += other
             node //= 2
 
+    def _stands(self, text: str, begin: int, end: int) -> bool:
+        """Whether a whole pre-token that is no white space lies between."""
+        for i, j in self.c.scan(text, begin):
+            if j > end:
+                return False
+            if not text[i:j].isspace():
+                return True
+        return False
+
     def edit(self, start: int, deleted: int, inserted: str) -> None:
         old = self.text
         start = min(max(0, start), len(old))
         deleted = min(max(0, deleted), len(old) - start)
         new = old[:start] + inserted + old[start + deleted :]
-        if not (old and new and self._simple(old) and self._simple(new)):
+        if not (old and new):
             self.text = new
             self._build(self._leaves(self._pieces(new)))
             self.encoded += len(new)
             return
-        width, scan = len(self.chars) // 2, self.c._pieces.finditer
+        width = len(self.chars) // 2
+        reach = max([SIGHT, *map(len, self.c.added)])
         first, begin = self._find(start - 1 if start else 0)
-        while begin and not any(m.end() <= start and not m[0].isspace() for m in scan(old, begin, None) if m.start() < start):
+        while begin and not (begin + reach <= start and self._stands(old, begin, start)):
             first, begin = self._find(begin - 1)
         last, end = self._find(start + deleted)
         end += int(self.chars[width + last])
         shift, pieces = len(inserted) - deleted, []
-        for m in scan(new, begin):
-            pieces.append((m.end() - m.start(), self._count(m[0])))
-            at = m.end() - shift
+        for i, j in self.c.scan(new, begin):
+            pieces.append((j - i, self._count(new[i:j])))
+            at = j - shift
             while at > end and end < len(old):
                 last += 1
                 end += int(self.chars[width + last])
-            if at == end and m.end() >= start + len(inserted):
+            if at == end and j >= start + len(inserted):
                 break
         self.text = new
         self.encoded += sum(a for a, _ in pieces)
