@@ -2,7 +2,8 @@
 
 A record's layout is told by a fingerprint: the hash of the nested paths of its fields that hold a value ([] for the
 elements of a list), of those paths that any mapping knows. A fingerprint selects a declarative mapping, which lists
-where turns come from. Records are JSON objects (turns_of_json), or the rows of a table (turns_of_table), whose
+where turns come from. Where a record has known paths of several mappings and no fingerprint fits, the mapping goes
+that finds most paths of its own, all that it must have among them; of equals the first. Records are JSON objects (turns_of_json), or the rows of a table (turns_of_table), whose
 schema gives the paths.
 
 Each turn is formatted by itself, so nothing is shuffled and a conversation of any length is a set of rows; the
@@ -11,7 +12,9 @@ backslashes between, one more, so no text can hold a control string and reading
 
 Null text is the empty text, a null role the empty role; a turn number that repeats orders by the segment's text; a
 repeated row is a turn again. Rows with a null conversation id form one conversation with that id. A record of no
-known layout, or that is no JSON object, keeps a row with a null layout and no turns. Other columns are ignored."""
+known layout, or that is no JSON object (broken, nested too deep), keeps a row with a null layout and no turns. Lone
+surrogates become U+FFFD, as UTF-8 has no form for them. A text may be a list of parts: their texts are joined.
+Other columns are ignored, also those whose names another layout knows."""
 
 from __future__ import annotations
 
@@ -84,6 +87,7 @@ _NAMES = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model
 _SYSTEM = (Field("system", "system"),)
 MAPPINGS = (
     Mapping("messages", (Each("messages", "role", "content", _NAMES),), _SYSTEM),
+    Mapping("messages-parts", (Each("messages", "role", "content[].text", _NAMES),), _SYSTEM),
     Mapping("messages-text", (Each("messages", "role", "text", _NAMES),), _SYSTEM),
     Mapping("messages-author", (Each("messages", "author.role", "content.text", _NAMES),), _SYSTEM),
     Mapping("from-value", (Each("conversations", "from", "value", _NAMES),), _SYSTEM),
@@ -122,23 +126,43 @@ def paths_of(value, at: str = "") -> Iterator[str]:
 
 def _get(record, path: str):
     for k in path.split("."):
-        record = record.get(k) if isinstance(record, dict) else None
+        if isinstance(record, list):  # the parts of a text
+            record = [x.get(k) for x in record if isinstance(x, dict)]
+        else:
+            record = record.get(k.removesuffix("[]")) if isinstance(record, dict) else None
     return record
 
 
 def _text(value) -> str:
-    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    if isinstance(value, str):
+        return value.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if _SURROGATE.search(value) else value
+    if isinstance(value, list) and value:  # the parts of a text
+        parts = [x.get("text") if isinstance(x, dict) and x.get("type") else x for x in value]
+        if all(isinstance(x, str) or x is None for x in parts):
+            return "".join(_text(x) for x in parts)
+    return "" if value is None else _text(json.dumps(value, ensure_ascii=False))
+
+
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def _mapping(paths: frozenset[str]) -> Mapping | None:
+    """The mapping of a fingerprint, or that which finds most of its paths among them."""
+    if found := _BY_FINGERPRINT.get(fingerprint(paths)):
+        return found
+    fits = [(len(s & paths), -k, m) for k, m in enumerate(MAPPINGS) if (s := max(m.sets(), key=len)) and min(m.sets(), key=len) <= paths]
+    return max(fits, key=lambda f: f[:2])[2] if fits else None
 
 
 def canonical(text: str | None) -> tuple[str | None, list[dict]]:
     """The layout of a JSON record and its turns."""
     try:
         record = json.loads(text) if text else None
-    except ValueError:
-        return None, []
-    if not isinstance(record, dict):
+        if not isinstance(record, dict):
+            return None, []
+        mapping = _mapping(_KNOWN.intersection(paths_of(record)))
+    except (ValueError, RecursionError):
         return None, []
-    mapping = _BY_FINGERPRINT.get(fingerprint(_KNOWN.intersection(paths_of(record))))
     if mapping is None:
         return None, []
     out = []
@@ -149,7 +173,8 @@ def canonical(text: str | None) -> tuple[str | None, list[dict]]:
             names = dict(t.names)
             for x in _get(record, t.path):
                 role = _text(_get(x, t.role))
-                out.append({"role": names.get(role, role), "text": _text(_get(x, t.text))})
+                content = _get(x, t.text.split("[]")[0])
+                out.append({"role": names.get(role, role), "text": _text(_get(x, t.text) if isinstance(content, list) else content)})
     return mapping.name, out
 
 
@@ -172,6 +197,7 @@ def turns_of_table(df: DataFrame) -> DataFrame:
     known = {c for layout in ROW_LAYOUTS.values() for c in layout}
     by_print = {fingerprint(layout): layout for layout in ROW_LAYOUTS.values()}
     layout = by_print.get(fingerprint(known.intersection(df.columns)))
+    layout = layout or next((x for x in ROW_LAYOUTS.values() if set(x) <= set(df.columns)), None)
     if layout is None:
         raise ValueError(f"no known layout has the columns {sorted(df.columns)}")
     return df.select(*[F.col(a).alias(b) for a, b in zip(layout, ROW_LAYOUTS["rows"], strict=True)])
