@@ -13,6 +13,7 @@ MEMO_WORDS = 300_000
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 word_hash = Memo(xxhash.xxh3_64_intdigest, MEMO_WORDS)
+word_hash_128 = Memo(xxhash.xxh3_128_digest, MEMO_WORDS)
 
 
 def split(text: str | None) -> list[bytes]:
@@ -25,6 +26,11 @@ def split_lower(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def hashes_128(words: list[bytes]) -> np.ndarray:
+    """Two independent 64-bit hashes of each word, as columns."""
+    return np.frombuffer(b"".join(map(word_hash_128.__getitem__, words)), dtype=np.uint64).reshape(-1, 2)
+
+
 def hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(word_hash.__getitem__, words), dtype=np.uint64, count=len(words))
 
