@@ -20,7 +20,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents go whose probability of the highest grade is too low. Null text counts as empty; without labels of two
     grades all stay; each of repeated rows is judged alike."""
     rated = queries.quality_scores(docs.select(*COLUMNS), docs, queries.table(spark, sf_dir, "labels"))
-    return rated.where(F.col("top_probability") >= quality.KEEP).select(*COLUMNS)
+    return rated.where(quality.kept()).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ The model is fitted in one task, on at most SAMPLE labelled rows, the first by a
 parameter sample; it does not grow with the corpus), and its weights (one array of BUCKETS doubles) go to the workers.
 Every document is scored, by its whole text.
 
-Labels with a null are not used; if fewer than two grades are left, every document gets the expectation of the share
-of grades (0 without any) and is kept. Null text counts as empty and is scored by its thresholds alone. Repeated rows
+Labels with a null are not used. If fewer than two grades are left, or no feature tells them apart, nothing is known of
+single documents: all get the expectation of the share of grades, and a null probability, by which none is rejected.
+Null text counts as empty and is scored by its thresholds alone. Repeated rows
 are scored each; of several grades or texts of a labelled id the least counts. Other columns stay."""
 
 from __future__ import annotations
@@ -165,21 +166,28 @@ def train(docs: DataFrame, labels: DataFrame, grade, grades: int, id: str = "doc
 
 
 def score(df: DataFrame, model: Model, text: str = "text", expected: str = "expected_grade", tail: str = "top_probability") -> DataFrame:
-    """df with the expected grade and the probability of the highest grade."""
+    """df with the expected grade and the probability of the highest grade (see kept())."""
     df = df.drop(expected, tail)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        knows = bool(m.weights.any())
         weight = Memo(lambda f: m.weights[_bucket(f)], MEMO_WORDS)
         for whole in batches:
             for batch in slices(whole, text):
                 total = np.array([_total(features(x), weight) for x in batch.column(text).to_pylist()])
                 tails = m.tails(total)
-                yield extended(batch, {expected: pa.array(tails.sum(axis=1)), tail: pa.array(tails[:, -1])})
+                top = pa.array(tails[:, -1]) if knows else pa.nulls(len(total), pa.float64())
+                yield extended(batch, {expected: pa.array(tails.sum(axis=1)), tail: top})
 
     return df.mapInArrow(lean(run), T.StructType([*df.schema.fields, T.StructField(expected, T.DoubleType()), T.StructField(tail, T.DoubleType())]))
 
 
 def _total(own: set[bytes], weight: Memo) -> float:
     return round(math.fsum(map(weight.__getitem__, own)), 9)
+
+
+def kept(tail: str = "top_probability"):
+    """Whether a document is good enough to stay."""
+    return F.coalesce(F.col(tail) >= KEEP, F.lit(True))

@@ -159,7 +159,7 @@ def quality_scores(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> D
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rated = quality_scores(docs, docs, table(spark, sf_dir, "labels"))
-    return rated.select("doc_id", "expected_grade", "top_probability", (F.col("top_probability") >= quality.KEEP).alias("kept"))
+    return rated.select("doc_id", "expected_grade", "top_probability", quality.kept().alias("kept"))
 
 
 @query
