@@ -67,13 +67,18 @@ def _calls(node: ast.AST) -> list[str]:
     return [name for _, _, name in sorted(found) if name]
 
 
-def _imports(tree: ast.AST) -> list[str]:
+def _imports(tree: ast.AST, path: str) -> list[str]:
+    """The names that imports ask for: modules, and what is taken from them. Relative modules are told from the root, as
+    the file's path tells it."""
     out = []
     for n in ast.walk(tree):
         if isinstance(n, ast.Import):
             out += [a.name for a in n.names]
         elif isinstance(n, ast.ImportFrom):
-            out += ([n.module] if n.module else []) + [a.name for a in n.names if a.name != "*"]
+            above = path.split("/")[: -n.level] if n.level else []
+            module = ".".join([*above, *([n.module] if n.module else [])])
+            names = [a.name for a in n.names if a.name != "*"]
+            out += ([module] if n.module else [f"{module}.{x}" for x in names if module]) + names
     return out
 
 
@@ -140,10 +145,18 @@ def parse_python(path: str, source: str, max_tokens: int) -> list[tuple] | None:
 
     walk(tree.body, "")
     rest = [n for n in tree.body if not isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
-    if rest:
-        a, b = rest[0].lineno, rest[-1].end_lineno
-        code = "\n".join(body_of(n.lineno, n.end_lineno) for n in rest)[: max_tokens * 4]
-        rows.append(("module", path, a, b, code, f"File: {path}\nModule: {path}", [], _imports(tree)))
+    if rest:  # in parts, if it is too long for one chunk
+        parts, cur = [], []
+        for at in (k for n in rest for k in range(n.lineno, n.end_lineno + 1)):
+            if cur and max(1, len("\n".join(lines[k - 1] for k in [*cur, at])) // 4) > max_tokens:
+                parts.append(cur)
+                cur = []
+            cur.append(at)
+        parts.append(cur)
+        for i, own in enumerate(parts, 1):
+            name, label = (path, path) if len(parts) == 1 else (f"{path}#{i}", f"{path} (part {i}/{len(parts)})")
+            code = "\n".join(lines[k - 1] for k in own)
+            rows.append(("module", name, own[0], own[-1], code, f"File: {path}\nModule: {label}", [], _imports(tree, path) if i == 1 else []))
     return rows
 
 
@@ -186,11 +199,12 @@ def chunks(parsed: DataFrame, settings: Settings = Settings(), repo: str = "repo
 
 
 def symbols(parsed: DataFrame) -> DataFrame:
-    """(chunk_id, qualified_name, simple_name, kind, file_path, start_line, end_line); windows of a function count once,
-    at the first."""
-    named = parsed.where("kind IN ('function', 'method', 'class') AND symbol_name IS NOT NULL AND NOT symbol_name RLIKE '#([2-9]|[0-9]{2,})$'")
+    """(chunk_id, qualified_name, simple_name, kind, file_path, start_line, end_line); windows of a function or module
+    count once, at the first. A module's names are its path and its file's name."""
+    named = parsed.where("kind IN ('function', 'method', 'class', 'module') AND symbol_name IS NOT NULL AND NOT symbol_name RLIKE '#([2-9]|[0-9]{2,})$'")
     name = X.without_window("symbol_name")
-    return named.select(X.chunk_id("file_path", "start_line", "end_line").alias("chunk_id"), name.alias("qualified_name"), X.last_part(name).alias("simple_name"), "kind", "file_path", "start_line", "end_line")
+    simple = F.when(F.col("kind") == "module", F.substring_index(name, "/", -1)).otherwise(X.last_part(name))
+    return named.select(X.chunk_id("file_path", "start_line", "end_line").alias("chunk_id"), name.alias("qualified_name"), simple.alias("simple_name"), "kind", "file_path", "start_line", "end_line")
 
 
 def calls(parsed: DataFrame) -> DataFrame:

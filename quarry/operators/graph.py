@@ -53,7 +53,7 @@ def build(nodes: DataFrame, calls: DataFrame, imports: DataFrame) -> DataFrame:
     """edges of nodes, calls(chunk_id, file_path, callee) and imports(chunk_id, file_path, name): contains from the one
     node named as a member's parent, imports, then calls. An edge counts once; none leads to its own start or starts
     at no node."""
-    owned = nodes.where(F.contains("qualified_name", F.lit("."))).select(F.col("id").alias("dst"), F.regexp_replace("qualified_name", r"\.[^.]*\z", "").alias("parent"))
+    owned = nodes.where(F.contains("qualified_name", F.lit(".")) & (F.col("kind") != "module")).select(F.col("id").alias("dst"), F.regexp_replace("qualified_name", r"\.[^.]*\z", "").alias("parent"))
     single = nodes.groupBy(F.col("qualified_name").alias("parent")).agg(F.count("*").alias("n"), F.min("id").alias("src")).where("n = 1")
     contains = owned.join(single, "parent").select("src", "dst", F.lit("contains").alias("type"))
 

@@ -36,11 +36,10 @@ def questions(nodes: DataFrame, edges: DataFrame, n: int = 55, start_id: int = 4
     text = F.when(F.col("kind") == "class", F.concat(F.lit("What does the `"), "simple_name", F.lit("` class do?"))).otherwise(F.concat(F.lit("Where is `"), "simple_name", F.lit("` defined and what does it do?")))
     single = free.select(F.lit(1).alias("part"), text.alias("question"), F.lit("where").alias("type"), F.array("file_path").alias("relevant_files"), F.array("qualified_name").alias("relevant_symbols"))
     order = F.struct(F.md5(F.concat_ws("|", "question", F.array_join("relevant_symbols", "|"))).alias("h"), F.array_join("relevant_symbols", "|").alias("s"))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy(order))
-    ranked = cross.unionByName(single).withColumn("r", rank)
     n_cross = round(n * cross_share)
-    chosen = ranked.where((F.col("part") == 1) | (F.col("r") <= n_cross))
-    place = F.row_number().over(Window.orderBy("part", "r"))
+    # the first of each kind by top-n, so that no task orders more rows than there are questions
+    chosen = cross.orderBy(order).limit(n_cross).unionByName(single.orderBy(order).limit(n))
+    place = F.row_number().over(Window.orderBy("part", order))
     chosen = chosen.withColumn("i", place).where(F.col("i") <= n).withColumn("i", F.row_number().over(Window.orderBy(order)))
     name = F.concat(F.lit("q"), F.lpad((F.col("i") - 1 + start_id).cast("string"), 3, "0"))
     return chosen.select(name.alias("id"), "question", "type", "relevant_files", "relevant_symbols", (F.pmod(F.col("i") - 1, F.lit(holdout_every)) == holdout_every - 1).alias("holdout"))

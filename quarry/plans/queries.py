@@ -590,28 +590,42 @@ def graph_boost(spark, sf):
 
 
 def _symbols(spark, sf):
-    """Suppliers as members of nations, with names that repeat; each calls the next one's name."""
+    """Suppliers as members of nations, with names that repeat; each calls the next one's name. Seven files, whose
+    modules import the next file and the members of the file before."""
     s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    file = lambda k: F.concat(F.lit("f"), (k % 7).cast("string"), F.lit(".py"))
+    module = lambda k: F.concat(F.lit("m"), (k % 7).cast("string"))
     simple = F.concat(F.lit("fn"), (F.col("s_suppkey") % 60).cast("string"))
     ident = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
-    members = s.select(ident.alias("id"), F.concat("n_name", F.lit("."), simple).alias("qualified_name"), simple.alias("simple_name"), F.lit("method").alias("kind"), F.concat(F.lit("f"), (F.col("s_nationkey") % 7).cast("string")).alias("file_path"))
-    classes = table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("qualified_name"), F.col("n_name").alias("simple_name"), F.lit("class").alias("kind"), F.concat(F.lit("f"), (F.col("n_nationkey") % 7).cast("string")).alias("file_path"))
-    calls = s.select(ident.alias("chunk_id"), F.concat(F.lit("f"), (F.col("s_nationkey") % 7).cast("string")).alias("file_path"), F.concat(F.lit("obj.fn"), ((F.col("s_suppkey") + 1) % 60).cast("string")).alias("callee"))
-    return members.unionByName(classes), calls
+    full = F.concat("n_name", F.lit("."), simple)
+    members = s.select(ident.alias("id"), full.alias("qualified_name"), simple.alias("simple_name"), F.lit("method").alias("kind"), file(F.col("s_nationkey")).alias("file_path"))
+    classes = table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("qualified_name"), F.col("n_name").alias("simple_name"), F.lit("class").alias("kind"), file(F.col("n_nationkey")).alias("file_path"))
+    k = spark.range(7).select(F.col("id").alias("k"))
+    modules = k.select(module(F.col("k")).alias("id"), file(F.col("k")).alias("qualified_name"), file(F.col("k")).alias("simple_name"), F.lit("module").alias("kind"), file(F.col("k")).alias("file_path"))
+    calls = s.select(ident.alias("chunk_id"), file(F.col("s_nationkey")).alias("file_path"), F.concat(F.lit("obj.fn"), ((F.col("s_suppkey") + 1) % 60).cast("string")).alias("callee"))
+    whole = k.select(module(F.col("k")).alias("chunk_id"), file(F.col("k")).alias("file_path"), F.concat(F.lit("f"), ((F.col("k") + 1) % 7).cast("string")).alias("name"))
+    single = s.select(module(F.col("s_nationkey") + 1).alias("chunk_id"), file(F.col("s_nationkey") + 1).alias("file_path"), full.alias("name"))
+    return members.unionByName(classes).unionByName(modules), calls, whole.unionByName(single)
 
 
 @query(
     "graph_build",
-    """WITH m AS (SELECT 's' || s_suppkey AS id, n_name || '.fn' || (s_suppkey % 60) AS q, 'fn' || (s_suppkey % 60) AS s, n_name AS parent, 'f' || (s_nationkey % 7) AS file, 'fn' || ((s_suppkey + 1) % 60) AS callee FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    """WITH m AS (SELECT 's' || s_suppkey AS id, n_name || '.fn' || (s_suppkey % 60) AS q, 'fn' || (s_suppkey % 60) AS s, n_name AS parent, s_nationkey AS k, 'f' || (s_nationkey % 7) || '.py' AS file, 'fn' || ((s_suppkey + 1) % 60) AS callee FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 c AS (SELECT 'n' || n_nationkey AS id, n_name AS q FROM nation),
+full_names AS (SELECT q, count(*) AS n, min(id) AS only FROM m GROUP BY 1), full_here AS (SELECT q, file, min(id) AS only FROM m GROUP BY 1, 2 HAVING count(*) = 1),
+asked AS (SELECT DISTINCT 'm' || ((k + 1) % 7) AS src, 'f' || ((k + 1) % 7) || '.py' AS file, q FROM m),
+single AS (SELECT src, asked.file, CASE WHEN full_names.n = 1 THEN full_names.only ELSE full_here.only END AS dst FROM asked JOIN full_names USING (q) LEFT JOIN full_here ON full_here.q = asked.q AND full_here.file = asked.file),
+imported AS (SELECT * FROM single WHERE dst IS NOT NULL),
+seen AS (SELECT DISTINCT imported.file, m.s, m.file AS from_file FROM imported JOIN m ON m.id = imported.dst),
+reach AS (SELECT seen.file, seen.s, min(m.id) AS only FROM seen JOIN m ON m.s = seen.s AND m.file = seen.from_file GROUP BY 1, 2 HAVING count(*) = 1),
 tot AS (SELECT s, count(*) AS n, min(id) AS only FROM m GROUP BY 1), same AS (SELECT s, file, min(id) AS only FROM m GROUP BY 1, 2 HAVING count(*) = 1),
-calls AS (SELECT m.id AS src, CASE WHEN tot.n = 1 THEN tot.only ELSE same.only END AS dst FROM m JOIN tot ON tot.s = m.callee LEFT JOIN same ON same.s = m.callee AND same.file = m.file)
-SELECT DISTINCT src, dst, 'calls' AS type FROM calls WHERE dst IS NOT NULL AND src <> dst UNION ALL SELECT c.id, m.id, 'contains' FROM m JOIN c ON c.q = m.parent""",
+calls AS (SELECT m.id AS src, CASE WHEN tot.n = 1 THEN tot.only ELSE coalesce(same.only, reach.only) END AS dst FROM m JOIN tot ON tot.s = m.callee LEFT JOIN same ON same.s = m.callee AND same.file = m.file LEFT JOIN reach ON reach.s = m.callee AND reach.file = m.file)
+SELECT DISTINCT src, dst, 'calls' AS type FROM calls WHERE dst IS NOT NULL AND src <> dst UNION ALL SELECT c.id, m.id, 'contains' FROM m JOIN c ON c.q = m.parent
+UNION ALL SELECT DISTINCT src, dst, 'imports' FROM imported UNION ALL SELECT 'm' || k, 'm' || ((k + 1) % 7), 'imports' FROM range(7) AS r(k)""",
 )
 def graph_build(spark, sf):
-    nodes, calls = _symbols(spark, sf)
-    none = calls.select("chunk_id", "file_path", F.col("callee").alias("name")).limit(0)
-    return graph.build(nodes, calls, none).select("src", "dst", "type")
+    nodes, calls, imports = _symbols(spark, sf)
+    return graph.build(nodes, calls, imports).select("src", "dst", "type")
 
 
 @query("graph_edit_diff", f"WITH {EDGES}, d AS (SELECT src, dst, type FROM edges WHERE type = 'contains' AND seq % 3 <> 0 UNION ALL SELECT 'n1', 'n2', 'calls'), now AS (SELECT src, dst, type FROM edges WHERE type = 'contains') SELECT *, 'added' AS change FROM (SELECT * FROM d EXCEPT SELECT * FROM now) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM now EXCEPT SELECT * FROM d)")

@@ -5,11 +5,15 @@ prompts; a call that keeps failing gives null, and whoever asked falls back on w
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import random
 import re
 import time
+import uuid
+import weakref
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,32 +26,59 @@ TRANSIENT_WORDS = (
     "rate limit", "ratelimit", "connection", "reset by peer", "try again",
 )
 
-_made: dict[int, object] = {}
+_made: dict[str, object] = {}
+_NAMES: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
-def once(factory: Callable[[], object]):
-    """What the factory makes, one for each worker process."""
-    key = hash(factory.__qualname__) if hasattr(factory, "__qualname__") else id(factory)
-    if key not in _made:
-        _made[key] = factory()
-    return _made[key]
+class Shared:
+    """A factory under a name of its own, given on the driver: worker processes, which serve many
+    plans, make what it makes once, and never take it for that of another factory."""
 
+    def __init__(self, factory: Callable[[], object]):
+        self.factory, self.name = factory, uuid.uuid4().hex
+        with contextlib.suppress(TypeError):  # not every callable can be referred to weakly
+            self.name = _NAMES.setdefault(factory, self.name)
 
-def is_transient(e: BaseException) -> bool:
-    code = getattr(e, "status_code", None) or getattr(e, "status", None)
-    said = f"{type(e).__name__} {e}".lower()
-    return isinstance(code, int) and code in TRANSIENT_STATUS or any(w in said for w in TRANSIENT_WORDS)
+    def get(self):
+        if self.name not in _made:
+            _made[self.name] = self.factory()
+        return _made[self.name]
 
 
-def with_retry(call: Callable, attempts: int = 3, base: float = 0.5, most: float = 8.0, sleep: Callable[[float], None] = time.sleep):
-    """The result of call(); transient errors are tried again after growing, jittered waits."""
-    for n in range(attempts):
-        try:
-            return call()
-        except Exception as e:
-            if n + 1 == attempts or not is_transient(e):
-                raise
-            sleep(min(most, base * 2**n) * (1 + 0.25 * random.random()))
+@dataclass(frozen=True)
+class Retry:
+    """How a call to a service is repeated: errors that pass (by type, status or wording) are met with waits that double
+    up to a longest one, each a little longer by chance, so that workers do not come back together."""
+
+    attempts: int = 3
+    first: float = 0.5
+    longest: float = 8.0
+    sleep: Callable[[float], None] = time.sleep
+
+    @staticmethod
+    def passes(error: BaseException) -> bool:
+        if isinstance(error, (TimeoutError, ConnectionError)):
+            return True
+        statuses = {s for s in (getattr(error, name, None) for name in ("status_code", "status")) if type(s) is int}
+        if statuses & set(TRANSIENT_STATUS):
+            return True
+        return re.search("|".join(TRANSIENT_WORDS), f"{type(error).__name__} {error}", re.IGNORECASE) is not None
+
+    def waits(self) -> Iterator[float]:
+        wait = self.first
+        for _ in range(self.attempts - 1):
+            yield min(wait, self.longest) * random.uniform(1, 1.25)
+            wait *= 2
+
+    def run(self, call: Callable):
+        for wait in self.waits():
+            try:
+                return call()
+            except Exception as error:
+                if not self.passes(error):
+                    raise
+            self.sleep(wait)
+        return call()
 
 
 class HashEncoder:
@@ -77,9 +108,10 @@ class OverlapReranker:
 
 def embed(df: DataFrame, factory: Callable[[], object] = HashEncoder, text: str = "embed_text", out: str = "vector", query: bool = False, prefix: str = "", batch: int = 64) -> DataFrame:
     """df with the vectors of a text column."""
+    shared = Shared(factory)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = once(factory)
+        encoder = shared.get()
         for f in frames:
             texts = [prefix + (t or "") for t in f[text]]
             parts = [encoder.encode(texts[i : i + batch], query) for i in range(0, len(texts), batch)]
@@ -91,14 +123,15 @@ def embed(df: DataFrame, factory: Callable[[], object] = HashEncoder, text: str
 
 def rerank(pairs: DataFrame, factory: Callable[[], object] = OverlapReranker, query: str = "query", text: str = "text", out: str = "rerank_score") -> DataFrame:
     """pairs with a model's score of each query and text; 0 where the model fails."""
+    shared = Shared(factory)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = once(factory)
+        model = shared.get()
         for f in frames:
             scores = pd.Series(0.0, index=f.index)
             for q, own in f.groupby(query, sort=False):
                 try:
-                    scores[own.index] = with_retry(lambda q=q, own=own: model.score(q, own[text].tolist()))
+                    scores[own.index] = Retry().run(lambda q=q, own=own: model.score(q, own[text].tolist()))
                 except Exception:
                     continue
             yield f.assign(**{out: scores})
@@ -109,13 +142,14 @@ def rerank(pairs: DataFrame, factory: Callable[[], object] = OverlapReranker, qu
 
 def generate(prompts: DataFrame, factory: Callable[[], object], prompt: str = "prompt", out: str = "reply", max_tokens: int = 4096, attempts: int = 3) -> DataFrame:
     """prompts with a language model's replies; null where it fails. The model has generate(prompt, max_tokens) -> str."""
+    shared = Shared(factory)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = once(factory)
+        model = shared.get()
 
         def ask(p):
             try:
-                return with_retry(lambda: model.generate(p, max_tokens), attempts)
+                return Retry(attempts).run(lambda: model.generate(p, max_tokens))
             except Exception:
                 return None
 

@@ -22,25 +22,24 @@ SKIP_FILES = (
 MINIFIED = (".min.js", ".min.css", "-min.js", "bundle.js")
 MAX_BYTES, MAX_LINES, SNIFFED = 1_000_000, 5_000, 8192
 
-#: Languages and the suffixes of their files (fixed values).
-EXTENSIONS = {
-    "python": ".py .pyi .pyw", "javascript": ".js .jsx .mjs .cjs", "typescript": ".ts .mts .cts", "tsx": ".tsx",
-    "go": ".go", "rust": ".rs", "ruby": ".rb .rake", "java": ".java", "kotlin": ".kt .kts", "scala": ".scala .sc",
-    "c": ".c .h", "cpp": ".cpp .cc .cxx .hpp .hh .hxx", "csharp": ".cs", "php": ".php", "swift": ".swift", "objc": ".m",
-    "lua": ".lua", "bash": ".sh .bash .zsh", "perl": ".pl .pm", "r": ".r .R", "julia": ".jl", "haskell": ".hs",
-    "ocaml": ".ml .mli", "elixir": ".ex .exs", "erlang": ".erl .hrl", "elm": ".elm", "clojure": ".clj .cljs .cljc",
-    "dart": ".dart", "groovy": ".groovy .gradle", "powershell": ".ps1 .psm1", "sql": ".sql", "vue": ".vue",
-    "svelte": ".svelte", "html": ".html .htm", "css": ".css", "scss": ".scss", "hcl": ".tf .hcl", "proto": ".proto",
-    "zig": ".zig", "nix": ".nix",
+#: The language of each suffix (fixed values).
+LANGUAGES = {
+    ".py": "python", ".pyi": "python", ".pyw": "python", ".js": "javascript", ".jsx": "javascript",
+    ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".mts": "typescript", ".cts": "typescript",
+    ".tsx": "tsx", ".go": "go", ".rs": "rust", ".rb": "ruby", ".rake": "ruby", ".java": "java", ".kt": "kotlin",
+    ".kts": "kotlin", ".scala": "scala", ".sc": "scala", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp",
+    ".cxx": "cpp", ".hpp": "cpp", ".hh": "cpp", ".hxx": "cpp", ".cs": "csharp", ".php": "php", ".swift": "swift",
+    ".m": "objc", ".lua": "lua", ".sh": "bash", ".bash": "bash", ".zsh": "bash", ".pl": "perl", ".pm": "perl",
+    ".r": "r", ".R": "r", ".jl": "julia", ".hs": "haskell", ".ml": "ocaml", ".mli": "ocaml", ".ex": "elixir",
+    ".exs": "elixir", ".erl": "erlang", ".hrl": "erlang", ".elm": "elm", ".clj": "clojure", ".cljs": "clojure",
+    ".cljc": "clojure", ".dart": "dart", ".groovy": "groovy", ".gradle": "groovy", ".ps1": "powershell",
+    ".psm1": "powershell", ".sql": "sql", ".vue": "vue", ".svelte": "svelte", ".html": "html", ".htm": "html",
+    ".css": "css", ".scss": "scss", ".tf": "hcl", ".hcl": "hcl", ".proto": "proto", ".zig": "zig", ".nix": "nix",
 }
 #: Interpreters named in a first line #!..., in this order (fixed values).
 SHEBANGS = (("python", "python"), ("bash|/sh|zsh", "bash"), ("node", "javascript"), ("ruby", "ruby"), ("perl", "perl"))
 
 
-def suffixes() -> dict[str, str]:
-    return {s: language for language, all_of in EXTENSIONS.items() for s in all_of.split(" ")}
-
-
 def name_of(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -60,7 +59,7 @@ def skipped_name(path: Column) -> Column:
 
 def language(path: Column, head: Column) -> Column:
     """By the suffix as it is, then in lower case; without one by the interpreter in the first line; else null."""
-    table = F.create_map(*[F.lit(x) for kv in suffixes().items() for x in kv])
+    table = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
     name = name_of(path)
     suffix = F.regexp_extract(name, r"(?!^)\.[^.]*$", 0)
     first = F.substring_index(head, "\n", 1)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import chunking, context, dense, fuse, graph, incremental, lexical, metrics, scaffold, verify
 from quarry.plans import retrieval
@@ -47,7 +48,33 @@ def test_graph_of_two_files(spark):
     edges = graph.build(nodes, chunking.calls(parsed), chunking.imports(parsed))
     name = {r["id"]: r["qualified_name"] for r in nodes.collect()}
     got = {(name[r["src"]], r["type"], name[r["dst"]]) for r in edges.collect()}
-    assert got == {("top_level", "calls", "helper"), ("Widget.run", "calls", "Widget.scale"), ("Widget", "contains", "Widget.run"), ("Widget", "contains", "Widget.scale")}
+    defined = {("top_level", "calls", "helper"), ("Widget.run", "calls", "Widget.scale"), ("Widget", "contains", "Widget.run"), ("Widget", "contains", "Widget.scale")}
+    assert got == defined | {("pkg/a.py", "imports", "helper")}
+
+
+def test_imports(spark):
+    sources = [
+        ("pkg/__init__.py", "python", "VERSION = 1\n"),
+        ("pkg/a.py", "python", "import pkg.b\nfrom . import c\nfrom .b import shared\nfrom ..other.d import *\n\ndef run():\n    return shared()\n"),
+        ("pkg/b.py", "python", "X = 1\n\ndef shared():\n    return 1\n"),
+        ("pkg/c.py", "python", "Y = 2\n\ndef shared():\n    return 2\n"),
+        ("pkg/e.py", "python", "import pkg\nfrom nowhere import nothing\n"),
+    ]
+    parsed = chunking.parse_files(files(spark, sources))
+    nodes = chunking.symbols(parsed).withColumnRenamed("chunk_id", "id")
+    edges = graph.build(nodes, chunking.calls(parsed), chunking.imports(parsed))
+    name = {r["id"]: (r["file_path"], r["simple_name"]) for r in nodes.collect()}
+    got = {(name[r["src"]][0], r["type"], name[r["dst"]]) for r in edges.collect()}
+    a, e = "pkg/a.py", "pkg/e.py"
+    assert got == {(a, "imports", ("pkg/b.py", "b.py")), (a, "imports", ("pkg/c.py", "c.py")), (e, "imports", ("pkg/__init__.py", "__init__.py"))}
+    assert {r["name"] for r in chunking.imports(parsed).where("file_path = 'pkg/a.py'").collect()} == {"pkg.b", "pkg.c", "c", "shared", "other.d"}
+
+
+def test_long_module(spark):
+    source = "\n".join(f"x{i} = {i}" for i in range(300))
+    parsed = chunking.parse_files(files(spark, [("m.py", "python", source)]), Settings(max_chunk_tokens=50))
+    rows = parsed.orderBy("start_line").collect()
+    assert len(rows) > 5 and "\n".join(r["code"] for r in rows) == source and chunking.symbols(parsed).count() == 1
 
 
 def test_ambiguous_names(spark):
@@ -161,10 +188,10 @@ def test_bootstrap(spark):
     ci = metrics.bootstrap_ci(df, "c", "q").first()
     assert far["significant"] and not same["significant"] and ci["lo"] <= ci["mean"] <= ci["hi"] and ci["lo"] < ci["hi"]
     assert metrics.bootstrap_ci(df.limit(0), "c", "q").first()["mean"] == 0
-    assert metrics.bootstrap_ci_exact([]) == {"mean": 0.0, "lo": 0.0, "hi": 0.0, "n": 0}
-    assert metrics.paired_bootstrap_exact([1.0] * 6, [0.0] * 6)["significant"]
-    with pytest.raises(ValueError):
-        metrics.paired_bootstrap_exact([1.0], [])
+    scores = df.select(F.lit("one").alias("config"), F.col("q").alias("query_id"), F.col("c").alias("recall"))
+    both = metrics.intervals(scores.unionByName(scores.withColumn("config", F.lit("two"))), ["recall"]).collect()
+    assert len(both) == 2 and all((r["mean"], r["lo"], r["hi"], r["n"]) == (ci["mean"], ci["lo"], ci["hi"], ci["n"]) for r in both)
+    assert metrics.intervals(scores.limit(0), ["recall"]).count() == 0
 
 
 def ranked_chunks(spark, rows):

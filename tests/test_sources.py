@@ -98,10 +98,17 @@ def test_retry():
             raise Flaky
         return "ok"
 
-    assert plugins.with_retry(call, sleep=lambda s: None) == "ok" and len(tries) == 3
+    assert plugins.Retry(sleep=lambda s: None).run(call) == "ok" and len(tries) == 3
     with pytest.raises(ValueError):
-        plugins.with_retry(lambda: (_ for _ in ()).throw(ValueError("bad model")), sleep=lambda s: None)
-    assert plugins.is_transient(TimeoutError()) and not plugins.is_transient(ValueError("no"))
+        plugins.Retry(sleep=lambda s: None).run(lambda: (_ for _ in ()).throw(ValueError("bad model")))
+    assert plugins.Retry.passes(TimeoutError()) and not plugins.Retry.passes(ValueError("no"))
+
+
+def test_factories_are_told_apart():
+    made = [plugins.Shared(f).get() for f in (lambda: "model A", lambda: "model B")]
+    assert made == ["model A", "model B"]
+    factory = lambda: object()
+    assert plugins.Shared(factory).get() is plugins.Shared(factory).get()
 
 
 def test_encoder(spark):
