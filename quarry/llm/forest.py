@@ -18,6 +18,7 @@ just one row of each component: of those with the least id, that of the least ke
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ from quarry.llm.common import bounded, components, drop, keyed, rested, staged
 TREES, DEPTH, FLOOR = 32, 8, 5
 #: Members of different components up to which a region is compared as it is; beyond, it is parted by deeper prefixes.
 CROWDED = 64
+#: Longs of slots for each set: where one set has slots that another has not, it has shingles that the other has not.
+WORDS = 16
 #: Sets up to which a shingle is rare: such shingles are compared one by one where the rest cannot decide.
 RARE = 20
 
@@ -75,14 +78,21 @@ def _described(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _sets(df: DataFrame, width: int) -> DataFrame:
+    """(id, own, bits): the set of each text, and which of 64 * WORDS slots its shingles fall into."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                own = [shingles(x, width).view(np.int64) for x in batch.column("text").to_pylist()]
+                own = [shingles(x, width) for x in batch.column("text").to_pylist()]
                 offsets = np.cumsum([0, *map(len, own)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own)))], names=["id", "own"])
+                bits = np.zeros((len(own), 64 * WORDS), dtype=np.uint8)
+                bits[np.repeat(np.arange(len(own)), np.diff(offsets)), np.concatenate(own) % np.uint64(64 * WORDS)] = 1
+                bits = np.packbits(bits, axis=1).view(np.int64).ravel()
+                places = np.arange(0, WORDS * len(own) + 1, WORDS, dtype=np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own).view(np.int64))), pa.ListArray.from_arrays(pa.array(places), pa.array(bits))]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], names=["id", "own", "bits"])
 
-    return df.mapInArrow(lean(run), "id long, own array<long>")
+    return df.mapInArrow(lean(run), "id long, own array<long>, bits array<long>")
 
 
 def _deepest(percent: int) -> int:
@@ -153,7 +163,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width
     of_class = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("same", "first", F.coalesce("component_id", "rep").alias("root"))
     of_class = staged(of_class, "of_class")
     of_root = of_class.groupBy("root").agg(F.min("first").alias("first"))
-    of_class = staged(of_class.select("same", "root").join(of_root, "root").select("same", "first"), "members")
+    of_class = staged(of_class.select("same", "root").join(bounded(of_root)[0], "root").select("same", "first"), "members")
     drop(classes, roots)
     out = described.select("key", "id", "n", F.when(F.col("n") > 0, F.col("same")).alias("same")).join(of_class, "same", "left")
     alone = F.col("first").isNull()
@@ -200,26 +210,34 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _linkable(sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, n, common, rare): the size of each set, how many of its shingles more than RARE sets have, and the others
+    """(rep, n, bits, common, rare): the size of each set, its slots, how many of its shingles more than RARE sets have, and the others
     that it shares. A set that shares too few for any link is left out: shingles of its own count in the union and in
     no intersection."""
     each = sets.select("id", F.explode("own").alias("s"))
     counts = each.groupBy("s").agg(F.count("*").alias("sets"), F.min("id").alias("least")).where(F.col("sets") <= RARE)
     alone = counts.where("sets = 1").groupBy(F.col("least").alias("id")).agg(F.count("*").alias("alone"))
     rare = each.join(counts.where("sets > 1").select("s"), "s").groupBy("id").agg(F.collect_list("s").alias("rare"))
-    facts = sets.select("id", F.size("own").alias("n")).join(alone, "id", "left").join(rare, "id", "left")
-    facts = facts.select(F.col("id").alias("rep"), "n", F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("rare", F.array().cast("array<long>")).alias("rare"))
+    facts = sets.select("id", "bits", F.size("own").alias("n")).join(alone, "id", "left").join(rare, "id", "left")
+    facts = facts.select(F.col("id").alias("rep"), "n", "bits", F.coalesce("alone", F.lit(0)).alias("alone"), F.coalesce("rare", F.array().cast("array<long>")).alias("rare"))
     able = facts.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
-    return able.select("rep", "n", (F.col("n") - F.col("alone") - F.size("rare")).alias("common"), "rare")
+    return able.select("rep", "n", "bits", (F.col("n") - F.col("alone") - F.size("rare")).alias("common"), "rare")
+
+
+def _shared_at_most(n: str, bits: str, other: str) -> Column:
+    """A bound of the shingles of a set that another may have, too: each slot that the other has not holds one at least
+    that it has not."""
+    missed = F.zip_with(bits, other, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b))))
+    return F.col(n) - F.aggregate(missed, F.lit(0), lambda total, k: total + k)
 
 
 def _within_regions(forest: DataFrame, facts: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a region, each region at the least depth at which it is not crowded.
 
     Of the members of a region only those outside its largest component are joined with all others, so that one large
-    component and a few strangers make few pairs; and only where the common shingles and the rare ones that both have
-    suffice for a link."""
-    most = F.least("common", "common_x") + F.size(F.array_intersect("rare", "rare_x"))
+    component and a few strangers make few pairs; and only where two bounds of what both have allow a link: by the common
+    shingles and the rare ones of both, and by the slots that only one of them has."""
+    bounds = [F.least("common", "common_x") + F.size(F.array_intersect("rare", "rare_x")), _shared_at_most("n", "bits", "bits_x"), _shared_at_most("n_x", "bits_x", "bits")]
+    able = functools.reduce(lambda a, b: a & b, [(100 + percent) * most >= percent * (F.col("n") + F.col("n_x")) for most in bounds])
     left = forest.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "tree", "hi", "lo", F.coalesce("component_id", "rep").alias("of"))
     pairs, deepest = [], _deepest(percent)
     for depth in range(FLOOR, deepest + 1):
@@ -230,8 +248,7 @@ def _within_regions(forest: DataFrame, facts: DataFrame, roots: DataFrame, perce
         known = staged(here.join(regions, ["tree", "hi", "part"]), "region")
         drop(here)
         open_now = (known if depth == deepest else known.where(F.col("members") - F.col("most") <= CROWDED)).join(facts, "rep")
-        strangers = open_now.where("of <> largest").select("tree", "hi", "part", F.col("rep").alias("x"), F.col("of").alias("of_x"), F.col("n").alias("n_x"), F.col("common").alias("common_x"), F.col("rare").alias("rare_x"))
-        able = 100 * most >= percent * (F.col("n") + F.col("n_x") - most)
+        strangers = open_now.where("of <> largest").select("tree", "hi", "part", F.col("rep").alias("x"), F.col("of").alias("of_x"), F.col("n").alias("n_x"), F.col("bits").alias("bits_x"), F.col("common").alias("common_x"), F.col("rare").alias("rare_x"))
         met = open_now.join(strangers, ["tree", "hi", "part"]).where((F.col("of") != F.col("of_x")) & able).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
         pairs.append(staged(met, "pairs"))
         if depth < deepest:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, drop, staged
+from quarry.llm.common import bounded, components, drop, staged
 
 log = logging.getLogger(__name__)
 
@@ -294,7 +294,7 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding"
     facts = facts.select(F.col("id").alias("rep"), F.coalesce("component_id", "id").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     known = staged(classes.select("x", "rep", "first").join(facts, "rep"), "facts")
     of_root = known.groupBy("root").agg(F.min("first").alias("first"))
-    known = known.select("x", "root", "n_links").join(of_root, "root").drop("root")
+    known = known.select("x", "root", "n_links").join(bounded(of_root)[0], "root").drop("root")
     out = rows.select("key", "id", "x").join(known, "x", "left")
     alone = F.col("first").isNull()
     root = F.when(alone, F.col("id")).otherwise(F.col("first.id"))
