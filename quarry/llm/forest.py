@@ -160,10 +160,10 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width
     roots = components(_all(links))
     drop(*links)
 
-    of_class = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("same", "first", F.coalesce("component_id", "rep").alias("root"))
-    of_class = staged(of_class, "of_class")
-    of_root = of_class.groupBy("root").agg(F.min("first").alias("first"))
-    of_class = staged(of_class.select("same", "root").join(bounded(of_root)[0], "root").select("same", "first"), "members")
+    of_class = staged(classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("same", "first", F.col("component_id").alias("root")), "of_class")
+    linked = of_class.where("root IS NOT NULL")
+    of_root, _ = bounded(linked.groupBy("root").agg(F.min("first").alias("first")))
+    of_class = staged(linked.select("same", "root").join(of_root, "root").select("same", "first").unionByName(of_class.where("root IS NULL").select("same", "first")), "members")
     drop(classes, roots)
     out = described.select("key", "id", "n", F.when(F.col("n") > 0, F.col("same")).alias("same")).join(of_class, "same", "left")
     alone = F.col("first").isNull()

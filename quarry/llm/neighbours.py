@@ -291,10 +291,11 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding"
         facts = here if facts is None else facts.unionByName(here)
     if facts is None:
         return rows.select(F.col("id").alias(id), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    facts = facts.select(F.col("id").alias("rep"), F.coalesce("component_id", "id").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    facts = facts.select(F.col("id").alias("rep"), F.col("component_id").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     known = staged(classes.select("x", "rep", "first").join(facts, "rep"), "facts")
-    of_root = known.groupBy("root").agg(F.min("first").alias("first"))
-    known = known.select("x", "root", "n_links").join(bounded(of_root)[0], "root").drop("root")
+    linked = known.where("root IS NOT NULL")
+    of_root, _ = bounded(linked.groupBy("root").agg(F.min("first").alias("first")))
+    known = linked.select("x", "root", "n_links").join(of_root, "root").drop("root").unionByName(known.where("root IS NULL").select("x", "n_links", "first"))
     out = rows.select("key", "id", "x").join(known, "x", "left")
     alone = F.col("first").isNull()
     root = F.when(alone, F.col("id")).otherwise(F.col("first.id"))
