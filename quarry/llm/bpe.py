@@ -110,24 +110,26 @@ class Coder:
         """Where pieces and added tokens start and end, one after the other from a place between two; as little of the
         text is looked at as the caller takes, whatever its script."""
         while at < len(text):
-            found = self._added.search(text, at) if self._added else None
-            stop = found.start() if found else len(text)
+            places = [(k, -len(x)) for x in self.added if (k := text.find(x, at)) >= 0]
+            stop, size = min(places, default=(len(text), 0))  # the first, and there the longest
             yield from self._stretch(text, at, stop)
-            at = stop
-            if found:
-                yield found.span()
-                at = found.end()
+            if size:
+                yield stop, stop - size
+            at = stop - size
 
     def _stretch(self, text: str, at: int, stop: int) -> Iterator[tuple[int, int]]:
         size = AHEAD
         while at < stop:
             part = text[at : min(stop, at + size)]
-            places = [m.span() for m in self._pieces.finditer(part)] if part.isascii() or not UNSETTLED.search(part) else self._library(part)
             # where the part ends within the text, only pieces stay that no character beyond it can change
-            sure = places if at + size >= stop else [(i, j) for i, j in places if j <= len(part) - SIGHT]
-            yield from ((at + i, at + j) for i, j in sure)
-            size = AHEAD if sure else 4 * size
-            at += sure[-1][1] if sure else 0
+            sure, begin = len(part) if at + size >= stop else len(part) - SIGHT, at
+            settled = part.isascii() or not UNSETTLED.search(part)
+            for i, j in (m.span() for m in self._pieces.finditer(part)) if settled else self._library(part):
+                if j > sure:
+                    break
+                at = begin + j
+                yield begin + i, at
+            size = AHEAD if at > begin else 4 * size
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian int32."""
