@@ -44,18 +44,18 @@ def token_len(s) -> Column:
 
 
 def code_tokens(s) -> Column:
-    """Each run of ASCII letters and digits in lower case, followed by its camel-case parts if there are several."""
-    raw = F.filter(F.split(c(s), "[^A-Za-z0-9]+"), lambda x: x != "")
-
-    def with_parts(x):
-        # most tokens have no capital, and so no parts: they are spared the pattern
-        return F.when(x == F.lower(x), F.array(x)).otherwise(camel(x))
-
-    def camel(x):
-        parts = F.transform(F.split(F.regexp_replace(x, "(?<=[a-z0-9])(?=[A-Z])", " "), " "), F.lower)
-        return F.concat(F.array(F.lower(x)), F.filter(parts, lambda p: p != F.lower(x)))
-
-    return F.flatten(F.transform(raw, with_parts))
+    """Each run of ASCII letters and digits in lower case, followed by its camel-case parts if there are several.
+
+    No step is a function of elements, so all of it is compiled. Texts without a capital after a small letter or digit
+    have no parts and are split at once (those with the two signs whose small form is an ASCII letter excepted). In the
+    others such a run is written twice, the second time behind a mark; from the mark on, part by part, blanks are set
+    before capitals."""
+    plain = F.array_remove(F.split(F.lower(c(s)), "[^a-z0-9]+"), "")
+    runs = F.regexp_replace(c(s), "[^A-Za-z0-9]+", " ")
+    twice = F.regexp_replace(runs, "(?<![A-Za-z0-9])([A-Z]*+[a-z0-9]++[A-Z][A-Za-z0-9]*+)", "$1 \x02$1")
+    parted = F.regexp_replace(twice, r"(\x02[A-Z]*+[a-z0-9]++|\G(?!^)[A-Z]++[a-z0-9]++)(?=[A-Z])", "$1 ")
+    mixed = F.array_remove(F.split(F.lower(parted), r"[ \x02]+"), "")
+    return F.when(F.rlike(c(s), F.lit("[a-z0-9][A-Z]|[\u0130\u212a]")), mixed).otherwise(plain)
 
 
 def compact(code) -> Column:

@@ -16,14 +16,17 @@ from quarry.functions import text as X
 QUERY_BLOCK = 4096
 
 
-def hashed(chunks: DataFrame, id: str = "id", text: str = "text", dim: int = 64) -> DataFrame:
-    """(id, vector): a stand-in for an encoder. Each token adds one to the bucket of its MD5; unit length."""
-    bucket = (F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long") % dim).cast("int")
-    tokens = chunks.select(F.col(id).alias("id"), F.explode_outer(X.code_tokens(text)).alias("t"))
-    counts = tokens.groupBy("id", bucket.alias("b")).agg(F.count("t").cast("double").alias("n"))
-    maps = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "n")))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    value = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(F.col("norm") > 0, F.coalesce(F.element_at("m", i), F.lit(0.0)) / F.col("norm")).otherwise(0.0))
-    return maps.select("id", value.alias("vector"))
+def hashed(chunks: DataFrame, id: str = "id", text: str = "text", dim: int = 64, postings: DataFrame | None = None) -> DataFrame:
+    """(id, vector): a stand-in for an encoder. Each token adds one to the bucket of its MD5; unit length, or zero for a
+    text without tokens. postings(term, id, tf), if they are there, spare cutting the texts once more."""
+    bucket = (F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % dim).cast("int")
+    ids = chunks.select(F.col(id).alias("id"))
+    if postings is None:
+        postings = chunks.select(F.col(id).alias("id"), F.explode(X.code_tokens(text)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    counts = postings.groupBy("id", bucket.alias("b")).agg(F.sum("tf").cast("double").alias("n"))
+    maps = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    value = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i) / F.col("norm"), F.lit(0.0)))
+    return ids.join(maps, "id", "left").select("id", value.alias("vector"))
 
 
 def _ranked(scored: DataFrame, n: int) -> DataFrame:

@@ -22,8 +22,10 @@ class Postings:
 
 def index(chunks: DataFrame, id: str = "id", text: str = "text", ordinal: str | None = None) -> Postings:
     """Texts are cut into tokens once: the postings are written to the shared folder, sorted by term, and lengths and
-    frequencies follow from them."""
-    tokens = chunks.select(F.col(id).alias("id"), F.explode(X.code_tokens(text)).alias("term"))
+    frequencies follow from them. Texts are dealt by id before they are cut, so tokens, which outweigh them, are counted
+    where they are cut and not exchanged."""
+    dealt = chunks.select(F.col(id).alias("id"), F.col(text).alias("t")).repartition("id")
+    tokens = dealt.select("id", F.explode(X.code_tokens("t")).alias("term"))
     postings = staged(tokens.groupBy("term", "id").agg(F.count("*").alias("tf")).sortWithinPartitions("term"), "postings")
     lengths = postings.groupBy("id").agg(F.sum("tf").alias("dl"))
     docs = chunks.select(F.col(id).alias("id"), F.col(ordinal or id).alias("ordinal")).join(lengths, "id", "left")

@@ -48,8 +48,9 @@ SEARCH = f"{S.CHUNKS}, {S.bm25('chunks', 'id', 'code', 'benchmark', 'item_id', '
 
 def search_lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     chunks, q = doc_chunks(spark, sf), bench_queries(spark, sf)
-    found = lexical.search(q, lexical.index(chunks, "id", "code"), 40, text="query")
-    vectors = dense.hashed(chunks, "id", "code")
+    index = lexical.index(chunks, "id", "code")
+    found = lexical.search(q, index, 40, text="query")
+    vectors = dense.hashed(chunks, "id", "code", postings=index.postings)
     asked = dense.hashed(q.withColumnRenamed("query_id", "id"), "id", "query").withColumnRenamed("id", "query_id")
     return dense.search(asked, vectors, 40), found
 
@@ -114,7 +115,9 @@ def tok_len_stats(spark, sf):
 
 @query("tok_code_tokens", f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({S.tokens('text')}) AS token FROM documents) GROUP BY token")
 def tok_code_tokens(spark, sf):
-    each = table(spark, sf, "documents").select("doc_id", F.explode(X.code_tokens("text")).alias("token")).groupBy("token", "doc_id").agg(F.count("*").alias("k"))
+    # dealt by document, so tokens, which outweigh the texts, are counted by document where they are cut
+    dealt = table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
+    each = dealt.select("doc_id", F.explode(X.code_tokens("text")).alias("token")).groupBy("token", "doc_id").agg(F.count("*").alias("k"))
     return each.groupBy("token").agg(F.sum("k").alias("n"), F.count("*").alias("df"))
 
 

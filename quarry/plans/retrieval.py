@@ -36,12 +36,13 @@ class Models:
 
 
 def build_index(chunks: DataFrame, settings: Settings = Settings(), models: Models = Models(), nodes: DataFrame | None = None, edges: DataFrame | None = None) -> Index:
+    postings = lexical.index(chunks, "id", "embed_text")
     if models.encoder is None:
-        vectors = dense.hashed(chunks, "id", "embed_text", settings.embed_dim)
+        vectors = dense.hashed(chunks, "id", "embed_text", settings.embed_dim, postings.postings)
     else:
         prefix = X.prefixes(settings.embed_model)[1] if settings.embed_doc_prefix is None else settings.embed_doc_prefix
         vectors = plugins.embed(chunks.select("id", "embed_text"), models.encoder, prefix=prefix, batch=settings.embed_batch).select("id", "vector")
-    return Index(chunks, vectors, lexical.index(chunks, "id", "embed_text"), nodes, edges)
+    return Index(chunks, vectors, postings, nodes, edges)
 
 
 def encoded(queries: DataFrame, settings: Settings, models: Models, text: str = "query") -> DataFrame:
