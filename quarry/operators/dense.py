@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import copy
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -14,6 +15,8 @@ from quarry.functions import text as X
 
 #: Queries that one pass over the vectors answers; more are answered in further passes.
 QUERY_BLOCK = 4096
+#: Of these as many meet a batch of vectors at once.
+QUERY_SLICE = 256
 
 
 def hashed(chunks: DataFrame, id: str = "id", text: str = "text", dim: int = 64, postings: DataFrame | None = None) -> DataFrame:
@@ -34,55 +37,100 @@ def _ranked(scored: DataFrame, n: int) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= n).select("query_id", "id", "score", "rank")
 
 
-def search(queries: DataFrame, corpus: DataFrame, n: int = 40, query_id: str = "query_id", query_vector: str = "vector", id: str = "id", vector: str = "vector") -> DataFrame:
-    """(query_id, id, score, rank): the n vectors of greatest dot product for each query, ties by id.
-
-    Blocks of queries go to the tasks, which keep the n best of each batch; so the vectors are not shuffled, and what is
-    grows with queries times batches, not with vectors."""
-    rows = queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).where("v IS NOT NULL").toLocalIterator()
+def _in_blocks(queries: DataFrame, corpus: DataFrame, schema: str, visit: Callable[[list, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """visit(block of query rows, batches of corpus), by a pass over the corpus for each block of queries."""
     out, block = None, []
-    own = corpus.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    q_type, id_type = queries.schema[query_id].dataType, corpus.schema[id].dataType
-    kinds = to_arrow_type(q_type), to_arrow_type(id_type)
-    schema = f"query_id {q_type.simpleString()}, id {id_type.simpleString()}, score double"
 
     def pass_over(block: list) -> DataFrame:
-        keys, matrix = [r["q"] for r in block], np.array([r["v"] for r in block])
-        shared = corpus.sparkSession.sparkContext.broadcast((keys, matrix))
+        shared = corpus.sparkSession.sparkContext.broadcast(block)
+        return corpus.mapInArrow(lambda batches: visit(shared.value, batches), schema)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, matrix = shared.value
-            for batch in batches:
-                ids = np.array(batch.column("id").to_pylist())
-                if not len(ids):
-                    continue
-                x = batch.column("v").flatten().to_numpy().reshape(len(ids), -1)
-                scores = np.round(matrix @ x.T, 9)
-                by_id = np.argsort(ids, kind="stable")
-                for i, row in enumerate(scores):
-                    best = by_id[np.argsort(-row[by_id], kind="stable")[:n]]
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[i]] * len(best), kinds[0]), pa.array(ids[best].tolist(), kinds[1]), pa.array(row[best])], names=["query_id", "id", "score"])
-
-        return own.mapInArrow(run, schema)
-
-    for r in rows:
-        block.append(r)
+    for r in queries.toLocalIterator():
+        block.append(tuple(r))
         if len(block) == QUERY_BLOCK:
             found = pass_over(block)
             out, block = found if out is None else out.unionByName(found), []
-    if block or out is None:
-        found = pass_over(block) if block else corpus.sparkSession.createDataFrame([], schema)
+    if block:
+        found = pass_over(block)
         out = found if out is None else out.unionByName(found)
+    return corpus.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def _vectors(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+
+
+def _own(df: DataFrame, id: str, vector: str) -> DataFrame:
+    return df.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+
+
+def search(queries: DataFrame, corpus: DataFrame, n: int = 40, query_id: str = "query_id", query_vector: str = "vector", id: str = "id", vector: str = "vector") -> DataFrame:
+    """(query_id, id, score, rank): the n vectors of greatest dot product for each query, ties by id.
+
+    Blocks of queries go to the tasks, which keep the n best of all they read; so the vectors are not shuffled, and what
+    is grows with queries times tasks, not with vectors."""
+    q_type, id_type = queries.schema[query_id].dataType, corpus.schema[id].dataType
+    kinds = to_arrow_type(q_type), to_arrow_type(id_type)
+
+    def best(block: list, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, matrix = [r[0] for r in block], np.array([r[1] for r in block])
+        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, x = np.array(batch.column("id").to_pylist()), _vectors(batch)
+            order = np.argsort(ids, kind="stable")
+            ids, x = ids[order], x[order]
+            for at in range(0, len(keys), QUERY_SLICE):
+                scores = np.round(matrix[at : at + QUERY_SLICE] @ x.T, 9)
+                first = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+                found, scores = ids[first], np.take_along_axis(scores, first, 1)
+                if at in kept:
+                    found, scores = np.concatenate([kept[at][0], found], 1), np.concatenate([kept[at][1], scores], 1)
+                    first = np.lexsort((found, -scores), axis=1)[:, :n]
+                    found, scores = np.take_along_axis(found, first, 1), np.take_along_axis(scores, first, 1)
+                kept[at] = found, scores
+        for at, (found, scores) in kept.items():
+            each = np.repeat(np.arange(at, at + len(found)), found.shape[1])
+            columns = [pa.array([keys[i] for i in each], kinds[0]), pa.array(found.ravel().tolist(), kinds[1]), pa.array(scores.ravel())]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "score"])
+
+    asked = queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    out = _in_blocks(asked, _own(corpus, id, vector), f"query_id {q_type.simpleString()}, id {id_type.simpleString()}, score double", best)
     return _ranked(out.withColumn("ordinal", F.col("id")), n)
 
 
 def gold_ranks(queries: DataFrame, corpus: DataFrame, query_id: str, query_vector: str, gold: str, id: str, vector: str) -> DataFrame:
-    """(query_id, rank): one more than the number of vectors that score strictly above the query's gold vector."""
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("qv"), F.col(gold).alias("gold"))
-    v = corpus.select(F.col(id).alias("id"), F.col(vector).alias("v"))
-    with_gold = q.join(v, F.col("gold") == F.col("id")).select("query_id", "qv", F.round(X.dot("qv", "v"), 9).alias("own"))
-    above = v.join(F.broadcast(with_gold), F.round(X.dot("qv", "v"), 9) > F.col("own")).groupBy("query_id").agg(F.count("*").alias("above"))
-    return with_gold.join(above, "query_id", "left").select("query_id", (F.coalesce("above", F.lit(0)) + 1).alias("rank"))
+    """(query_id, rank): one more than the number of vectors that score strictly above the query's gold vector. Queries
+    whose gold vector is not there have no row. Blocks of queries go to the tasks, which return a count for each."""
+    q_type = queries.schema[query_id].dataType
+    kind = to_arrow_type(q_type)
+
+    def above(block: list, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, golds = np.array([r[1] for r in block]), np.array([r[2] for r in block])
+        own, counts = np.round((matrix * golds).sum(axis=1), 9), np.zeros(len(block), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                x = _vectors(batch)
+                for at in range(0, len(block), QUERY_SLICE):
+                    here = slice(at, at + QUERY_SLICE)
+                    counts[here] += (np.round(matrix[here] @ x.T, 9) > own[here, None]).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in block], kind), pa.array(counts)], names=["query_id", "above"])
+
+    q = queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("qv"), F.col(gold).alias("gold")).where("qv IS NOT NULL")
+    v = _own(corpus, id, vector)
+    asked = q.join(v, F.col("gold") == F.col("id")).select("q", "qv", "v")
+    counted = _in_blocks(asked, v, f"query_id {q_type.simpleString()}, above long", above)
+    return counted.groupBy("query_id").agg((F.sum("above") + 1).alias("rank"))
+
+
+def backend(name: str, corpus: DataFrame, id: str = "id", vector: str = "vector") -> Callable[..., DataFrame]:
+    """A search(queries, n) over a corpus by name: "exact", or "ivf" for an inverted file fitted and filed here."""
+    if name == "exact":
+        return lambda queries, n: search(queries, corpus, n, id=id, vector=vector)
+    if name == "ivf":
+        return InvertedFile(corpus, id=id, vector=vector).search
+    raise ValueError(f"no vector backend {name!r}: exact or ivf")
 
 
 class InvertedFile:
@@ -91,7 +139,7 @@ class InvertedFile:
     Centroids are fitted by k-means on at most sample vectors, the first by a hash of their id; every vector is filed."""
 
     def __init__(self, corpus: DataFrame, lists: int = 64, id: str = "id", vector: str = "vector", sample: int = 20_000, seed: int = 1):
-        own = corpus.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+        own = _own(corpus, id, vector)
         rows = own.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
         x = np.array([r["v"] for r in rows])
         rng = np.random.default_rng(seed)
@@ -103,15 +151,45 @@ class InvertedFile:
                     mean = x[near == k].mean(axis=0)
                     centers[k] = mean / max(np.sqrt(mean @ mean), 1e-12)
         self.centers, self.id_type = centers, corpus.schema[id].dataType.simpleString()
-        shared = corpus.sparkSession.sparkContext.broadcast(centers)
+        self.filed = self._file(own)
+
+    def _file(self, own: DataFrame) -> DataFrame:
+        shared = own.sparkSession.sparkContext.broadcast(self.centers)
 
         def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    v = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
-                    yield pa.RecordBatch.from_arrays([pa.array((v @ shared.value.T).argmax(axis=1).astype(np.int32)), batch.column("id"), batch.column("v")], names=["list", "id", "v"])
-
-        self.filed = own.mapInArrow(file, f"list int, id {self.id_type}, v array<double>")
+                    near = (_vectors(batch) @ shared.value.T).argmax(axis=1).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(near), batch.column("id"), batch.column("v")], names=["list", "id", "v"])
+
+        return own.mapInArrow(file, f"list int, id {self.id_type}, v array<double>")
+
+    def _with(self, filed: DataFrame) -> InvertedFile:
+        out = copy.copy(self)
+        out.filed = filed
+        return out
+
+    def added(self, more: DataFrame, id: str = "id", vector: str = "vector") -> InvertedFile:
+        """With more vectors under the same centroids; those of ids that are there replace them."""
+        own = _own(more, id, vector)
+        return self._with(self.filed.join(own.select("id"), "id", "left_anti").select("list", "id", "v").unionByName(self._file(own)))
+
+    def removed(self, ids: DataFrame, id: str = "id") -> InvertedFile:
+        return self._with(self.filed.join(ids.select(F.col(id).alias("id")), "id", "left_anti").select("list", "id", "v"))
+
+    def save(self, path: str) -> None:
+        """Write centroids, and vectors in a folder for each list, so that a search reads the lists it looks at."""
+        rows = [(i, c.tolist()) for i, c in enumerate(self.centers)]
+        self.filed.sparkSession.createDataFrame(rows, "list int, center array<double>").coalesce(1).write.parquet(f"{path}/centers")
+        self.filed.repartition("list").write.partitionBy("list").parquet(f"{path}/filed")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> InvertedFile:
+        out = cls.__new__(cls)
+        out.centers = np.array([r["center"] for r in spark.read.parquet(f"{path}/centers").orderBy("list").collect()])
+        out.filed = spark.read.parquet(f"{path}/filed").select("list", "id", "v")
+        out.id_type = out.filed.schema["id"].dataType.simpleString()
+        return out
 
     def search(self, queries: DataFrame, n: int = 10, probes: int = 16, query_id: str = "query_id", query_vector: str = "vector") -> DataFrame:
         """(query_id, id, score, rank) from each query's nearest lists."""

@@ -121,11 +121,41 @@ def intervals(scores: DataFrame, metrics: list[str], order: str = "query_id", re
     metric with percentiles of the means of resamples, by the draws of bootstrap_ci(), all of them in one plan."""
     long = scores.select("config", F.col(order).alias("o"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])).alias("e"))
     own = long.select("config", "o", "e.*").where("x IS NOT NULL")
-    lists = own.groupBy("config", "metric").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "x"))), lambda v: v["x"]).alias("xs"), F.round(F.avg("x"), 6).alias("mean"), F.count("*").alias("n"))
+    out = _resampled(own, ["config", "metric"], resamples)
+    low, high = _bounds(resamples, ci)
+    return out.select("config", "metric", "mean", F.round(F.get("m", F.lit(low)), 6).alias("lo"), F.round(F.get("m", F.lit(high)), 6).alias("hi"), "n")
+
+
+def _bounds(resamples: int, ci: float) -> tuple[int, int]:
+    return int((1 - ci) / 2 * resamples), min(int((1 + ci) / 2 * resamples) - 1, resamples - 1)
+
+
+def _resampled(values: DataFrame, by: list[str], resamples: int) -> DataFrame:
+    """(by..., mean, n, m) of values(by..., o, x): of each group the sorted means of resamples, by the draws of
+    bootstrap_ci(). A group is a question set, held in one array."""
+    lists = values.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "x"))), lambda v: v["x"]).alias("xs"), F.round(F.avg("x"), 6).alias("mean"), F.count("*").alias("n"))
     picked = lambda r, j: F.pmod(F.pmod(F.pmod(F.lit(_A).cast("long") * (r * F.col("n") + j + 1) + _C, F.lit(_M).cast("long")) * F.lit(48271).cast("long"), F.lit(2147483647).cast("long")), F.col("n"))
     each = lists.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
     total = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(0.0), lambda s, j: s + F.get("xs", picked(F.col("r"), j).cast("int")))
-    means = each.select("config", "metric", "mean", "n", F.round(total / F.col("n"), 9).alias("m"))
-    low, high = int((1 - ci) / 2 * resamples), min(int((1 + ci) / 2 * resamples) - 1, resamples - 1)
-    out = means.groupBy("config", "metric", "mean", "n").agg(F.array_sort(F.collect_list("m")).alias("m"))
-    return out.select("config", "metric", "mean", F.round(F.get("m", F.lit(low)), 6).alias("lo"), F.round(F.get("m", F.lit(high)), 6).alias("hi"), "n")
+    means = each.select(*by, "mean", "n", F.round(total / F.col("n"), 9).alias("m"))
+    return means.groupBy(*by, "mean", "n").agg(F.array_sort(F.collect_list("m")).alias("m"))
+
+
+def deltas_by(pairs: DataFrame, slice: str, a: str, b: str, order: str = "query_id", resamples: int = 2000, ci: float = 0.95) -> DataFrame:
+    """(slice, mean_diff, lo, hi, p_value, n, significant) of a - b on the same questions, for each slice (a type of
+    questions; null is one, too) as paired_bootstrap() gives them, all in one plan; pairs with a null do not count."""
+    values = pairs.select(slice, F.col(order).alias("o"), (F.col(a) - F.col(b)).cast("double").alias("x")).where("x IS NOT NULL")
+    out = _resampled(values, [slice], resamples)
+    low, high = _bounds(resamples, ci)
+    share = lambda test: F.size(F.filter("m", test)) / F.lit(resamples)
+    p = F.least(F.lit(1.0), 2 * F.least(share(lambda x: x <= 0), share(lambda x: x >= 0)))
+    return out.select(slice, F.col("mean").alias("mean_diff"), F.round(F.get("m", F.lit(low)), 6).alias("lo"), F.round(F.get("m", F.lit(high)), 6).alias("hi"), F.round(p, 6).alias("p_value"), "n", (p < 0.05).alias("significant"))
+
+
+def task_summary(scores: DataFrame, score: str = "ndcg") -> DataFrame:
+    """(task, score, n_splits) of scores(task, split, score) of single questions: the mean of a task's means of splits, and
+    under a null task the mean over all tasks. Tasks without a score (failed ones) have a row with null and do not count."""
+    splits = scores.groupBy("task", "split").agg(F.avg(score).alias("x"))
+    tasks = splits.groupBy("task").agg(F.avg("x").alias("x"), F.count("x").alias("n_splits"))
+    every = tasks.agg(F.lit(None).cast(scores.schema["task"].dataType).alias("task"), F.avg("x").alias("x"), F.coalesce(F.sum("n_splits"), F.lit(0)).alias("n_splits"))
+    return tasks.unionByName(every).select("task", F.round("x", 6).alias("score"), "n_splits")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry import plugins
+from quarry.functions import text as X
+
 #: Names too common to ask about (fixed values).
 COMMON = (
     "self", "cls", "init", "main", "call", "run", "get", "set", "add", "len",
@@ -43,3 +48,18 @@ def questions(nodes: DataFrame, edges: DataFrame, n: int = 55, start_id: int = 4
     chosen = chosen.withColumn("i", place).where(F.col("i") <= n).withColumn("i", F.row_number().over(Window.orderBy(order)))
     name = F.concat(F.lit("q"), F.lpad((F.col("i") - 1 + start_id).cast("string"), 3, "0"))
     return chosen.select(name.alias("id"), "question", "type", "relevant_files", "relevant_symbols", (F.pmod(F.col("i") - 1, F.lit(holdout_every)) == holdout_every - 1).alias("holdout"))
+
+
+def paraphrased(questions: DataFrame, model: Callable[[], object], batch: int = 12) -> DataFrame:
+    """questions(id, question, ...) with questions a model words anew without naming symbols, batch at a time; a question
+    keeps its words where the reply is no JSON, lacks it, or the call fails. Ids that a reply makes up count for nothing."""
+    number = F.floor((F.row_number().over(Window.orderBy("id")) - 1) / batch)
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("id").cast("string").alias("id"), "question"))), lambda x: F.concat(x["id"], F.lit(": "), x["question"])), "\n")
+    asked = questions.select(number.alias("batch"), "id", "question").groupBy("batch").agg(lines.alias("lines"), F.collect_set(F.col("id").cast("string")).alias("ids"))
+    prompt = F.concat(F.lit('Say each question in other words, in one sentence, without any name of a symbol or file. Reply as JSON {"rewrites": [{"id", "question"}]}.\n\n'), "lines")
+    told = plugins.generate(asked.select("ids", prompt.alias("prompt")), model, max_tokens=2048)
+    parsed = F.from_json(F.to_json(X.tolerant_json("reply")), "struct<rewrites: array<struct<id: string, question: string>>>")
+    new = told.select("ids", F.explode(parsed["rewrites"]).alias("r")).where(F.array_contains("ids", F.col("r.id"))).select(F.col("r.id").alias("new_id"), F.trim("r.question").alias("new"))
+    new = new.where("new <> ''").groupBy("new_id").agg(F.min("new").alias("new"))
+    both = questions.join(new, F.col("id").cast("string") == F.col("new_id"), "left")
+    return both.withColumn("question", F.coalesce("new", "question")).select(*questions.columns)

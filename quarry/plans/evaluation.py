@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import plugins
@@ -10,6 +10,7 @@ from quarry.functions import text as X
 from quarry.operators import context, graph, metrics, verify
 from quarry.plans import retrieval
 from quarry.settings import Settings
+from quarry.shared import staged
 
 #: Configurations by name: what differs from the settings, and which lists are used.
 LADDER: dict[str, dict] = {
@@ -72,15 +73,55 @@ def judged_claims(replies: DataFrame, reply: str = "reply") -> DataFrame:
     return replies.select("query_id", F.posexplode(parsed["claims"]).alias("idx", "c")).select("query_id", "idx", "c.*")
 
 
+def _numbered_sources(settings: Settings) -> Column:
+    return F.transform("sources", lambda t, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), X.judge_cut(t["code"], settings.judge_source_tokens)))
+
+
 def faithfulness(answers: DataFrame, models: retrieval.Models, settings: Settings) -> DataFrame:
-    """(query_id, faithfulness, n_claims, judge_failed) by one call of a judging model."""
-    sources = F.array_join(F.transform("sources", lambda t, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), X.judge_cut(t["code"], settings.judge_source_tokens))), "\n\n")
-    asked = answers.withColumn("prompt", F.concat(F.lit('List the claims of the answer as JSON {"claims": [{"text", "sources", "supported", "reason"}]}.\n\n'), sources, F.lit("\n\nAnswer: "), "answer"))
+    """(query_id, faithfulness, n_claims, judge_failed): by one call of a judging model, or by one that lists claims and
+    one that checks those with sources (settings.single_call_judge). A claim without a source is not supported."""
+    if not settings.single_call_judge:
+        return _faithfulness_in_two(answers, models, settings)
+    asked = answers.withColumn("prompt", F.concat(F.lit('List the claims of the answer as JSON {"claims": [{"text", "sources", "supported", "reason"}]}.\n\n'), F.array_join(_numbered_sources(settings), "\n\n"), F.lit("\n\nAnswer: "), "answer"))
     told = plugins.generate(asked.select("query_id", "prompt"), models.llm)
     claims = judged_claims(told)
     cited = claims.withColumn("supported", F.coalesce("supported", F.lit(False)) & (F.size("sources") > 0))
-    scores = metrics.faithfulness(cited)
-    return told.select("query_id", F.col("reply").isNull().alias("judge_failed")).join(scores, "query_id", "left").withColumns({"faithfulness": F.coalesce("faithfulness", F.lit(1.0)), "n_claims": F.coalesce("n_claims", F.lit(0))})
+    return _rated(told.select("query_id", F.col("reply").isNull().alias("judge_failed")), cited)
+
+
+def _rated(told: DataFrame, claims: DataFrame) -> DataFrame:
+    scores = metrics.faithfulness(claims)
+    return told.join(scores, "query_id", "left").withColumns({"faithfulness": F.coalesce("faithfulness", F.lit(1.0)), "n_claims": F.coalesce("n_claims", F.lit(0))})
+
+
+VERDICTS = "struct<results: array<struct<index: int, verdict: string, reason: string>>>"
+
+
+def _faithfulness_in_two(answers: DataFrame, models: retrieval.Models, settings: Settings) -> DataFrame:
+    first = F.concat(F.lit('List the claims of the answer and the sources each cites as JSON {"claims": [{"text", "sources"}]}.\n\nAnswer: '), "answer")
+    told = staged(plugins.generate(answers.select("query_id", first.alias("prompt"), _numbered_sources(settings).alias("shown")), models.llm), "claims")
+    claims = judged_claims(told).where(~X.is_abstention("text")).select("query_id", "idx", "text", "sources")
+    listed = claims.where(F.size("sources") > 0).join(told.select("query_id", "shown"), "query_id")
+    cited = F.transform("sources", lambda n: F.coalesce(F.get("shown", n - 1), F.concat(F.lit("["), n.cast("string"), F.lit("] (missing source)"))))
+    block = F.concat(F.lit("Claim "), F.col("idx").cast("string"), F.lit(": "), "text", F.lit("\n"), F.array_join(cited, "\n---\n"))
+    blocks = listed.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("blocks"))
+    second = F.concat(F.lit('Is each claim supported by its sources? Reply as JSON {"results": [{"index", "verdict": "SUPPORTED" or "UNSUPPORTED", "reason"}]}.\n\n'), "blocks")
+    checked = staged(plugins.generate(blocks.select("query_id", second.alias("prompt")), models.llm), "verdicts")
+    parsed = F.from_json(F.to_json(X.tolerant_json("reply")), VERDICTS)
+    verdicts = checked.select("query_id", F.explode(parsed["results"]).alias("v")).groupBy("query_id", F.col("v.index").alias("idx")).agg(F.max((F.col("v.verdict") == "SUPPORTED").cast("int")).alias("v"))
+    rated = claims.join(verdicts, ["query_id", "idx"], "left").withColumn("supported", (F.size("sources") > 0) & (F.coalesce("v", F.lit(0)) == 1))
+    failed = told.select("query_id", F.col("reply").isNull().alias("first")).join(checked.select("query_id", F.col("reply").isNull().alias("second")), "query_id", "left")
+    return _rated(failed.select("query_id", (F.col("first") | F.coalesce("second", F.lit(False))).alias("judge_failed")), rated)
+
+
+def correctness(answers: DataFrame, models: retrieval.Models) -> DataFrame:
+    """(query_id, grade, score, reason) of answers(query_id, question, answer, reference) by a judging model. A grade it
+    makes up, or a reply that is no JSON, is wrong; where the call fails, grade and score are null."""
+    ask = F.concat(F.lit('Grade the answer by whether it agrees in fact with the reference: correct, partially_correct or wrong. Reply as JSON {"grade", "reason"}.\n\nQuestion: '), "question", F.lit("\n\nReference: "), "reference", F.lit("\n\nAnswer: "), F.coalesce("answer", F.lit("")))
+    told = plugins.generate(answers.select("query_id", ask.alias("prompt")), models.llm, max_tokens=512)
+    said = F.from_json(F.to_json(X.tolerant_json("reply")), "struct<grade: string, reason: string>")
+    grade = F.when(F.col("reply").isNotNull(), F.when(said["grade"].isin("correct", "partially_correct"), said["grade"]).otherwise("wrong"))
+    return told.select("query_id", grade.alias("grade"), F.when(grade.isNotNull(), X.grade_score(grade)).alias("score"), F.coalesce(said["reason"], F.lit("")).alias("reason"))
 
 
 def markdown(rows: list[dict], columns: list[str]) -> str:

@@ -136,7 +136,7 @@ def text_compact(spark, sf):
 
 @query(
     "text_trim_to_query",
-    rf"""WITH d AS (SELECT doc_id, item_id, d.text AS code, {S.tokens('b.text')} AS q FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
+    rf"""WITH d AS (SELECT doc_id, item_id, d.text AS code, {S.tokens('b.text')} AS q FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
 l AS (SELECT doc_id, code, q, string_split(code, chr(10)) AS l FROM d),
 e AS (SELECT doc_id, unnest(range(0, len(l))) AS i, l, q FROM l),
 hit AS (SELECT doc_id, i, len(l) AS n FROM e WHERE list_has_any({S.tokens('l[i + 1]')}, q)),
@@ -147,7 +147,8 @@ SELECT doc_id, CASE WHEN {S.token_len('code')} <= 100 OR trimmed IS NULL OR {S.t
 )
 def text_trim_to_query(spark, sf):
     d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("q"))
-    return d.join(b, F.col("item_id") == F.col("doc_id") % 40).select("doc_id", X.trim_to_query("text", "q", 100).alias("code"))
+    d = d.crossJoin(F.broadcast(b.agg(F.count("*").alias("n_items"))))
+    return d.join(b, F.col("item_id") == F.col("doc_id") % F.col("n_items")).select("doc_id", X.trim_to_query("text", "q", 100).alias("code"))
 
 
 def _rtrim(x: str) -> str:
@@ -315,13 +316,13 @@ def dense_topk(spark, sf):
 
 @query(
     "csn_self_rank",
-    """WITH q AS (SELECT vec_id AS query_id, embedding AS qv, vec_id - vec_id % 10 AS gold FROM embeddings WHERE vec_id % 100 = 1),
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS qv, vec_id + 1 AS gold FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, gold, vec_id, round(list_dot_product(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9) AS sc FROM q, embeddings)
 SELECT a.query_id, count(*) FILTER (WHERE b.sc > a.sc) + 1 AS rank FROM s a JOIN s b ON a.query_id = b.query_id WHERE a.vec_id = a.gold GROUP BY a.query_id""",
 )
 def csn_self_rank(spark, sf):
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id % 100 = 1").withColumn("gold", F.col("vec_id") - F.col("vec_id") % 10)
+    q = e.where("vec_id % 100 = 0").withColumn("gold", F.col("vec_id") + 1)
     return dense.gold_ranks(q, e, "vec_id", "embedding", "gold", "vec_id", "embedding")
 
 
@@ -422,7 +423,7 @@ def eval_qrels_contains(spark, sf):
     return metrics.retrieval(found, relevant, 5).select("query_id", "recall", "rr")
 
 
-@query("eval_rank_summary", """WITH q AS (SELECT vec_id AS query_id, embedding AS qv, vec_id - vec_id % 10 AS gold FROM embeddings WHERE vec_id % 100 = 1),
+@query("eval_rank_summary", """WITH q AS (SELECT vec_id AS query_id, embedding AS qv, vec_id + 1 AS gold FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, gold, vec_id, round(list_dot_product(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9) AS sc FROM q, embeddings),
 r AS (SELECT a.query_id, count(*) FILTER (WHERE b.sc > a.sc) + 1 AS rank FROM s a JOIN s b ON a.query_id = b.query_id WHERE a.vec_id = a.gold GROUP BY a.query_id)
 SELECT round(avg(CAST(rank <= 1 AS DOUBLE)), 6) AS recall_1, round(avg(CAST(rank <= 5 AS DOUBLE)), 6) AS recall_5, round(avg(CAST(rank <= 10 AS DOUBLE)), 6) AS recall_10, round(avg(1.0e0 / rank), 6) AS mrr FROM r""")
@@ -518,7 +519,7 @@ def graph_degree(spark, sf):
 
 @query(
     "graph_bfs",
-    f"""WITH {EDGES}, s AS (SELECT n_regionkey AS query_id, 'n' || n_nationkey AS seed FROM nation WHERE n_nationkey % 5 = 0),
+    f"""WITH {EDGES}, s AS (SELECT n_regionkey AS query_id, 'n' || n_nationkey AS seed FROM nation),
 one AS (SELECT query_id, seed, b AS id, min_by(relation, way * 1000000 + seq) AS relation FROM s JOIN adj ON a = seed GROUP BY 1, 2, 3),
 two AS (SELECT query_id, seed, adj.b AS id, min_by(adj.relation, (w1 * 1000000 + q1) * 10000000 + adj.way * 1000000 + adj.seq) AS relation
   FROM (SELECT query_id, seed, b AS mid, min(way) AS w1, min(seq) AS q1 FROM s JOIN adj ON a = seed GROUP BY 1, 2, 3) JOIN adj ON adj.a = mid GROUP BY 1, 2, 3)
@@ -526,7 +527,7 @@ SELECT query_id, seed, id, relation, 1 AS distance FROM one UNION ALL
 SELECT query_id, seed, id, relation, 2 FROM two WHERE id <> seed AND (query_id, seed, id) NOT IN (SELECT query_id, seed, id FROM one)""",
 )
 def graph_bfs(spark, sf):
-    seeds = table(spark, sf, "nation").where("n_nationkey % 5 = 0").select(F.col("n_regionkey").alias("query_id"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"))
+    seeds = table(spark, sf, "nation").select(F.col("n_regionkey").alias("query_id"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"))
     return graph.neighbours(seeds, star_edges(spark, sf), depth=2).drop("order")
 
 

@@ -16,7 +16,7 @@ from quarry.settings import Settings
 
 @dataclass(frozen=True)
 class Index:
-    """What a search reads: chunks(id, ordinal, file_path, start_line, end_line, code, symbol_name, embed_text, ...), vectors(id,
+    """What a search reads (by an inverted file over the vectors, if there is one): chunks(id, ordinal, file_path, start_line, end_line, code, symbol_name, embed_text, ...), vectors(id,
     vector), postings, and the graph if there is one."""
 
     chunks: DataFrame
@@ -24,6 +24,7 @@ class Index:
     postings: lexical.Postings | None = None
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
+    inverted: dense.InvertedFile | None = None
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,8 @@ def build_index(chunks: DataFrame, settings: Settings = Settings(), models: Mode
     else:
         prefix = X.prefixes(settings.embed_model)[1] if settings.embed_doc_prefix is None else settings.embed_doc_prefix
         vectors = plugins.embed(chunks.select("id", "embed_text"), models.encoder, prefix=prefix, batch=settings.embed_batch).select("id", "vector")
-    return Index(chunks, vectors, postings, nodes, edges)
+    inverted = dense.InvertedFile(vectors) if settings.vector_backend == "ivf" else None
+    return Index(chunks, vectors, postings, nodes, edges, inverted)
 
 
 def encoded(queries: DataFrame, settings: Settings, models: Models, text: str = "query") -> DataFrame:
@@ -60,6 +62,17 @@ def hyde(queries: DataFrame, models: Models) -> DataFrame:
     return written.withColumn("query", F.when(F.coalesce("reply", F.lit("")) != "", F.concat("query", F.lit("\n"), "reply")).otherwise(F.col("query"))).drop("prompt", "reply")
 
 
+def by_vector(queries: DataFrame, index: Index, settings: Settings, models: Models) -> DataFrame:
+    """(query_id, id, score, rank): the nearest vectors, by the inverted file if the index has one."""
+    asked = encoded(queries, settings, models)
+    find = index.inverted.search if index.inverted is not None else dense.backend("exact", index.vectors)
+    return find(asked, settings.dense_top_n)
+
+
+def by_words(queries: DataFrame, index: Index, settings: Settings) -> DataFrame:
+    return lexical.search(queries, index.postings, settings.bm25_top_n, settings.bm25_k1, settings.bm25_b, text="query")
+
+
 def fused(queries: DataFrame, index: Index, settings: Settings = Settings(), models: Models = Models(), use_dense: bool = True, use_bm25: bool = True) -> DataFrame:
     """(query_id, id, rank): lists of both kinds fused by reciprocal rank and cut; one list alone in its own order."""
     if not (use_dense or use_bm25):
@@ -67,10 +80,10 @@ def fused(queries: DataFrame, index: Index, settings: Settings = Settings(), mod
     s, lists, weights = settings, [], []
     if use_dense:
         asked = hyde(queries, models) if s.use_hyde else queries
-        lists.append(dense.search(encoded(asked, s, models), index.vectors, s.dense_top_n))
+        lists.append(by_vector(asked, index, s, models))
         weights.append(s.dense_weight)
     if use_bm25:
-        lists.append(lexical.search(queries, index.postings, s.bm25_top_n, s.bm25_k1, s.bm25_b, text="query"))
+        lists.append(by_words(queries, index, s))
         weights.append(s.bm25_weight)
     if len(lists) == 1:
         return lists[0].where(F.col("rank") <= s.fuse_top_n).select("query_id", "id", "rank")

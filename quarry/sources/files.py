@@ -138,14 +138,19 @@ def keep(files: DataFrame, languages: list[str] | None = None, ignore: list[str]
 
 
 def scan(spark: SparkSession, root: str, languages: list[str] | None = None, max_bytes: int = MAX_BYTES, max_lines: int = MAX_LINES) -> DataFrame:
-    """The source files below a directory, paths relative to it; its ignore file counts. Sizes and names are tested
-    before contents are read."""
-    root = root.rstrip("/")
+    """The source files below a directory, paths relative to it; its ignore file counts. Files of skipped directories and
+    names are pruned by their metadata when the scan is planned, so they are not opened; neither are contents read of those
+    that are too large."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    start = re.sub("^[a-z]+:/*", "/", where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()).rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    # the path in the metadata is a URI: escapes change its length, not its number of parts
+    parts = F.split(F.regexp_replace("_metadata.file_path", "^[a-z]+:/*", "/"), "/")
+    below = F.array_join(F.slice(parts, start.count("/") + 2, 1000), "/")
+    opened = files.where(~in_skipped_dir(below) & ~skipped_name(below)).where(F.col("length") <= max_bytes)
     at = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    start = re.sub("^[a-z]+:/*", "/", root)
-    named = files.where(F.col("length") <= max_bytes).select(F.substr(at, F.lit(len(start) + 2), F.char_length(at)).alias("file_path"), "content")
-    ignore = _lines(spark, f"{root}/.gitignore")
+    named = opened.select(F.substr(at, F.lit(len(start) + 2), F.char_length(at)).alias("file_path"), "content")
+    ignore = _lines(spark, f"{root.rstrip('/')}/.gitignore")
     return keep(named, languages, ignore, max_bytes, max_lines)
 
 
