@@ -136,7 +136,8 @@ class CodeIndex:
 
     def index(self) -> retrieval.Index:
         t = self.tables
-        return retrieval.Index(t["chunks"], t["vectors"], lexical.Postings(t["postings"], t["docs"], t["terms"]), t["nodes"], t["edges"])
+        inverted = dense.InvertedFile(t["vectors"]) if self.settings.vector_backend == "ivf" else None
+        return retrieval.Index(t["chunks"], t["vectors"], lexical.Postings(t["postings"], t["docs"], t["terms"]), t["nodes"], t["edges"], inverted)
 
     def search(self, questions: list[str], k: int | None = None, settings: Settings | None = None, **lists) -> DataFrame:
         """Ranked chunks of all questions: (query_id, rank, score, citation, symbol_name, code, source, relation)."""

@@ -49,6 +49,26 @@ def search(queries: DataFrame, index: Postings, n: int = 40, k1: float = 1.5, b:
     return scored.withColumn("rank", rank).where(F.col("rank") <= n).select("query_id", "id", "score", "rank")
 
 
+def containing(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, id): the rows of docs(id, text) whose text holds that of queries(query_id, query) as it is, letter by
+    letter; null holds nothing and is held by nothing.
+
+    A text that holds a query has its inner words (all but the first and the last) as whole words, so the two are joined
+    on the query's rarest inner word and then compared. Queries of fewer than three words have none: they alone meet every
+    text."""
+    words = lambda x: F.split(F.col(x), r"\s+")
+    asked = queries.where("query IS NOT NULL").select("query_id", "query", F.slice(words("query"), 2, F.greatest(F.size(words("query")) - 2, F.lit(0))).alias("inner"))
+    inner = asked.select("query_id", F.explode(F.array_distinct("inner")).alias("word"))
+    has = docs.select("id", F.explode(F.array_distinct(words("text"))).alias("word")).join(inner.select("word").distinct(), "word", "left_semi")
+    often = has.groupBy("word").agg(F.count("*").alias("df"))
+    # a query with an inner word that no text has is held by none
+    rarest = inner.join(often, "word", "left").groupBy("query_id").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
+    pairs = has.join(rarest, "word").select("query_id", "id")
+    long = pairs.join(asked.select("query_id", "query"), "query_id").join(docs.select("id", "text"), "id").where(F.contains("text", F.col("query")))
+    short = docs.select("id", "text").join(asked.where(F.size("inner") == 0).select("query_id", "query"), F.contains("text", F.col("query")))
+    return long.select("query_id", "id").unionByName(short.select("query_id", "id"))
+
+
 def added(index: Postings, more: Postings) -> Postings:
     postings = index.postings.unionByName(more.postings)
     return Postings(postings, index.docs.unionByName(more.docs), postings.groupBy("term").agg(F.count("*").alias("df")))

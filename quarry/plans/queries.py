@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import chunking, context, dense, fuse, graph, incremental, lexical, metrics, scaffold, verify
-from quarry.plans import retrieval
+from quarry.plans import experiments, retrieval
 from quarry.plans import sql as S
 from quarry.registry import query, table
 from quarry.settings import Settings
@@ -344,6 +344,42 @@ def rrf_weighted(spark, sf):
     return fuse.rrf(list(search_lists(spark, sf)), 60, [1.0, 1.5], 30)
 
 
+@query("symbol_df", f"SELECT term, count(*) AS df FROM (SELECT DISTINCT s_suppkey, unnest({S.tokens('s_name')}) AS term FROM supplier) GROUP BY term")
+def symbol_df(spark, sf):
+    return experiments.symbol_df(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("symbol_name")))
+
+
+NAMED = f"""
+sd AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({S.tokens('text')}) AS term FROM documents) GROUP BY term),
+nq AS (SELECT DISTINCT item_id FROM (SELECT item_id, unnest({S.tokens('text')}) AS term FROM benchmark) JOIN sd USING (term)
+  WHERE length(term) >= {experiments.SHORTEST} AND df <= {experiments.MOST_SYMBOLS} AND term NOT IN ({", ".join(f"'{w}'" for w in experiments.PLAIN)})),
+named AS (SELECT item_id AS query_id, item_id IN (SELECT item_id FROM nq) AS named FROM benchmark)"""
+
+
+def _named(spark, sf):
+    """Which benchmark texts hold a word that at most three documents have, each document's text standing for a symbol."""
+    df = experiments.symbol_df(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("symbol_name")))
+    return experiments.names_rare_symbol(bench_queries(spark, sf), df)
+
+
+@query("symbol_rare", f"WITH {NAMED} SELECT query_id, named FROM named")
+def symbol_rare(spark, sf):
+    return _named(spark, sf)
+
+
+@query(
+    "rrf_adaptive",
+    f"""WITH {SEARCH}, {NAMED},
+rl AS (SELECT query_id, id, rank, 0 AS list, CASE WHEN named THEN 1.0e0 ELSE 1.5e0 END AS w FROM dense JOIN named USING (query_id) UNION ALL SELECT query_id, id, rank, 1, CASE WHEN named THEN 1.5e0 ELSE 1.0e0 END FROM bm25 JOIN named USING (query_id)),
+rs AS (SELECT query_id, id, round(sum(w / (60 + rank)), 9) AS score, min(list * 1000000 + rank) AS first FROM rl GROUP BY 1, 2)
+SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS INT) AS rank FROM rs QUALIFY rank <= 30""",
+)
+def rrf_adaptive(spark, sf):
+    by_vector, by_words = search_lists(spark, sf)
+    rows = by_vector.withColumn("list", F.lit(0)).unionByName(by_words.withColumn("list", F.lit(1))).select("query_id", "id", F.col("rank").cast("long").alias("rank"), "list")
+    return experiments.weighted(rows, _named(spark, sf), 60, 30)
+
+
 @query("hybrid_search", f"WITH {SEARCH}, {S.rrf([('dense', 1), ('bm25', 1)])} SELECT query_id, id, 1.0e0 / rank AS score, CAST(rank AS INT) AS rank, 'retrieved' AS source, CAST(NULL AS VARCHAR) AS relation FROM fused WHERE rank <= 6")
 def hybrid_search(spark, sf):
     index = retrieval.build_index(doc_chunks(spark, sf))
@@ -418,7 +454,7 @@ SELECT query_id, coalesce(round(h / n, 6), 0) AS recall, coalesce(round(1.0e0 /
 )
 def eval_qrels_contains(spark, sf):
     docs, q = table(spark, sf, "documents"), bench_queries(spark, sf)
-    relevant = docs.select(F.col("doc_id").alias("item"), "text").join(F.broadcast(q), F.contains("text", F.col("query"))).select("query_id", "item")
+    relevant = lexical.containing(q, docs.select(F.col("doc_id").alias("id"), "text")).withColumnRenamed("id", "item")
     found = bm25_topk(spark, sf).withColumnRenamed("id", "item")
     return metrics.retrieval(found, relevant, 5).select("query_id", "recall", "rr")
 
@@ -486,6 +522,28 @@ def eval_paired_bootstrap(spark, sf):
     return metrics.paired_bootstrap(_scored(spark, sf), "precision", "recall", "query_id")
 
 
+@query(
+    "eval_deltas_by_kind",
+    f"""WITH {SCORED}, v AS (SELECT query_id // 100 % 3 AS kind, row_number() OVER (PARTITION BY query_id // 100 % 3 ORDER BY query_id) - 1 AS i, count(*) OVER (PARTITION BY query_id // 100 % 3) AS n, precision - recall AS x FROM scored),
+d AS (SELECT p.kind, r, round(avg(x), 9) AS m FROM (SELECT kind, n, r, unnest(range(0, n)) AS j FROM (SELECT kind, max(n) AS n FROM v GROUP BY 1), range(2000) t(r)) p JOIN v ON v.kind = p.kind AND v.i = {_DRAW.replace(' n ', ' p.n ').replace('* n', '* p.n').replace('% n', '% p.n')} GROUP BY 1, 2),
+s AS (SELECT kind, list_sort(list(m)) AS m, least(1.0, 2 * least(avg(CAST(m <= 0 AS DOUBLE)), avg(CAST(m >= 0 AS DOUBLE)))) AS p FROM d GROUP BY 1)
+SELECT kind, round(avg(x), 6) AS mean_diff, round(any_value(m)[51], 6) AS lo, round(any_value(m)[1950], 6) AS hi, round(any_value(p), 6) AS p_value, count(*) AS n, any_value(p) < 0.05 AS significant FROM v JOIN s USING (kind) GROUP BY kind""",
+)
+def eval_deltas_by_kind(spark, sf):
+    return metrics.deltas_by(_scored(spark, sf).withColumn("kind", F.expr("query_id div 100 % 3")), "kind", "precision", "recall")
+
+
+@query(
+    "eval_task_summary",
+    f"""WITH {SCORED}, t AS (SELECT query_id // 100 % 2 AS task, query_id // 200 % 2 AS split, ndcg FROM scored),
+k AS (SELECT task, avg(x) AS x, count(x) AS n_splits FROM (SELECT task, split, avg(ndcg) AS x FROM t GROUP BY 1, 2) GROUP BY 1)
+SELECT task, round(x, 6) AS score, n_splits FROM k UNION ALL SELECT -1, round(avg(x), 6), sum(n_splits)::BIGINT FROM k""",
+)
+def eval_task_summary(spark, sf):
+    found = metrics.task_summary(_scored(spark, sf).withColumns({"task": F.expr("query_id div 100 % 2"), "split": F.expr("query_id div 200 % 2")}))
+    return found.withColumn("task", F.coalesce("task", F.lit(-1).cast("long")))
+
+
 # ---- context
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import chunking, context, dense, fuse, graph, incremental, lexical, metrics, scaffold, verify
-from quarry.plans import retrieval
+from quarry.plans import experiments, retrieval
 from quarry.settings import Settings
 
 REPO = [
@@ -160,6 +160,15 @@ def test_bm25_finds_the_rare_name(spark):
     assert lexical.search(q, lexical.removed(index, chunks.where("id = '1'"))).count() == 0
 
 
+def test_containing(spark):
+    texts = ["a bb cc dd e", "xa bb cc ddx", "bb cc", "bb  cc dd", "", None, "a bb\ncc dd", "a bb cc zz", "aa bb bb cc"]
+    asked = ["a bb cc dd", "bb cc", "cc", "", None, "bb\ncc dd", "bb bb cc", "no such words here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    want = sorted((i, j) for i, a in enumerate(asked) for j, t in enumerate(texts) if a is not None and t is not None and a in t)
+    assert sorted(tuple(r) for r in lexical.containing(q, docs).collect()) == want
+
+
 def test_inverted_file_recall(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((120, 64))[rng.integers(0, 120, 3000)] + 0.15 * rng.standard_normal((3000, 64))
@@ -172,6 +181,42 @@ def test_inverted_file_recall(spark):
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_search_over_many_batches(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(-2, 3, (700, 6)).astype(float)
+    corpus = spark.createDataFrame([(int(i), x[i].tolist()) for i in rng.permutation(700)] + [(999, None)], "id int, vector array<double>").repartition(3)
+    q = corpus.where("id < 300").withColumnRenamed("id", "query_id")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {}
+        for r in dense.search(q, corpus, 7).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+        ranks = {r["query_id"]: r["rank"] for r in dense.gold_ranks(q.withColumn("gold", F.col("query_id") + 1), corpus, "query_id", "vector", "gold", "id", "vector").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    scores = x @ x.T
+    for i in range(300):
+        best = sorted(range(700), key=lambda j: (-scores[i, j], j))[:7]
+        assert [(j, s) for _, j, s in sorted(got[i])] == [(j, scores[i, j]) for j in best]
+        assert ranks[i] == 1 + (scores[i] > scores[i, i + 1]).sum()
+    assert dense.search(q.limit(0), corpus, 7).count() == 0 and dense.search(q, corpus.limit(0), 7).count() == 0
+
+
+def test_inverted_file_grows_and_is_saved(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((200, 8))
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, vector array<double>")
+    file = dense.InvertedFile(corpus.where("id < 150"), 4).added(corpus.where("id >= 100")).removed(corpus.where("id = 7"))
+    assert file.filed.count() == 199 and file.filed.select("id").distinct().count() == 199
+    file.save(str(tmp_path / "ivf"))
+    q = corpus.where("id % 20 = 7").withColumnRenamed("id", "query_id")
+    want = sorted(tuple(r) for r in dense.search(q, corpus.where("id <> 7"), 5).collect())
+    assert sorted(tuple(r) for r in dense.InvertedFile.load(spark, str(tmp_path / "ivf")).search(q, 5, 4).collect()) == want
+    assert dense.backend("ivf", corpus)(q, 3).count() == 30
+    with pytest.raises(ValueError):
+        dense.backend("other", corpus)
+
+
 def test_metrics(spark):
     ranked = spark.createDataFrame([(1, x, i) for i, x in enumerate("abcd", 1)], "query_id int, item string, rank int")
     relevant = spark.createDataFrame([(1, "b"), (1, "d"), (2, "z")], "query_id int, item string")
@@ -192,6 +237,14 @@ def test_bootstrap(spark):
     both = metrics.intervals(scores.unionByName(scores.withColumn("config", F.lit("two"))), ["recall"]).collect()
     assert len(both) == 2 and all((r["mean"], r["lo"], r["hi"], r["n"]) == (ci["mean"], ci["lo"], ci["hi"], ci["n"]) for r in both)
     assert metrics.intervals(scores.limit(0), ["recall"]).count() == 0
+    kinds = df.withColumn("kind", F.when(F.col("q") % 4 < 2, "x"))
+    got = {r["kind"]: tuple(r)[1:] for r in metrics.deltas_by(kinds, "kind", "c", "b", "q").collect()}
+    assert got == {k: tuple(metrics.paired_bootstrap(kinds.where(F.col("kind").eqNullSafe(F.lit(k))), "c", "b", "q").first()) for k in ("x", None)}
+
+
+def test_task_summary(spark):
+    rows = spark.createDataFrame([("a", "1", 1.0), ("a", "1", 0.0), ("a", "2", 1.0), ("b", "1", 0.25), ("failed", "1", None)], "task string, split string, ndcg double")
+    assert {r["task"]: (r["score"], r["n_splits"]) for r in metrics.task_summary(rows).collect()} == {"a": (0.75, 2), "b": (0.25, 1), "failed": (None, 0), None: (0.5, 3)}
 
 
 def ranked_chunks(spark, rows):
@@ -232,6 +285,22 @@ def test_scaffold(spark):
     assert not any("Mod.process_data" in r["relevant_symbols"] for r in scaffold.questions(nodes, edges_of(spark, [("1", "2", "calls")]), 10, used=["Mod.process_data"]).collect())
 
 
+class Rewords:
+    def generate(self, prompt, max_tokens):
+        if "q30:" in prompt:
+            return "no JSON"
+        ids = [line.split(":")[0] for line in prompt.splitlines() if line.startswith("q")]
+        return str({"rewrites": [{"id": i, "question": f" again {i} "} for i in [*ids[1:], "q30", "q99"]]}).replace("'", '"')
+
+
+def test_paraphrase(spark):
+    rows = spark.createDataFrame([(f"q{i}", f"text {i}", i) for i in range(10, 35)], "id string, question string, extra int")
+    got = {r["id"]: r["question"] for r in scaffold.paraphrased(rows, Rewords).collect()}
+    # the model leaves out the first of a batch; the batch of q30 stays as it is, as its reply is no JSON
+    assert {k for k, v in got.items() if v == f"again {k}"} == {f"q{i}" for i in range(11, 22)} and len(got) == 25
+    assert got["q10"] == "text 10" and got["q30"] == "text 30" and got["q34"] == "text 34"
+
+
 class Says:
     def __init__(self, text):
         self.text = text
@@ -257,3 +326,28 @@ def test_retrieval_and_fallbacks(spark):
     assert sorted(tuple(r) for r in down.select("query_id", "id", "rank").collect()) == sorted(tuple(r) for r in plain.select("query_id", "id", "rank").collect())
     for s in (Settings(use_rerank=True, expand_graph=True, graph_rerank_boost=0.5), Settings(use_rerank=True, use_mmr=True), Settings(graph_rerank=True), Settings(graph_pagerank=True), Settings(expand_graph=True, graph_prererank_pool=False)):
         assert retrieval.retrieve(q, index, s, k=3).where("query_id = 1").count() >= 3
+
+
+def test_experiments(spark):
+    chunks = spark.createDataFrame([(str(i), f"f{i}.py", n, f"def {n}(): {w}") for i, (n, w) in enumerate([("frobnicate", "one"), ("handler", "two widgets"), ("parse_rows", "three"), (None, "rows of words")])], "id string, file_path string, symbol_name string, embed_text string")
+    df = {r["term"]: r["df"] for r in experiments.symbol_df(chunks).collect()}
+    assert df["frobnicate"] == 1 and df["rows"] == 1 and "words" not in df
+    q = spark.createDataFrame([(1, "what does frobnicate do"), (2, "handler of two widgets"), (3, "")], "query_id int, query string")
+    assert {r["query_id"]: r["named"] for r in experiments.names_rare_symbol(q, experiments.symbol_df(chunks)).collect()} == {1: True, 2: False, 3: False}
+    index = retrieval.build_index(chunks)
+    assert {r["id"] for r in experiments.adaptive(q, index).where("query_id = 1 AND rank = 1").collect()} == {"0"}
+    models = retrieval.Models(llm=lambda: Says("- parse rows\n\n* frobnicate\nthree\nfour"))
+    got = {(r["query_id"], r["part"]): r["query"] for r in experiments.parts(q, models).collect()}
+    assert [got[2, i] for i in range(4)] == ["handler of two widgets", "parse rows", "frobnicate", "three"] and (2, 4) not in got
+    down = {(r["query_id"], r["part"]): r["query"] for r in experiments.parts(q, retrieval.Models(llm=lambda: Says(None))).collect()}
+    assert down[1, 1] == down[1, 0] and (1, 2) not in down
+    fused = experiments.decomposed(q, index, models=models)
+    lists = []
+    for part in range(4):
+        asked = spark.createDataFrame([(i, got[i, part]) for i in (1, 2, 3)], "query_id int, query string")
+        pair = [retrieval.by_words(asked, index, Settings()), retrieval.by_vector(asked, index, Settings(), models)]
+        lists += pair if part == 0 else pair[::-1]
+    assert order(fused) == order(fuse.rrf(lists, 60))
+    asked = q.where("query_id < 3").join(spark.createDataFrame([(1, ["f0.py"]), (2, ["f1.py"])], "query_id int, relevant_files array<string>"), "query_id")
+    trial = experiments.reranker_trial(asked, index, retrieval.plugins.OverlapReranker).collect()
+    assert len(trial) == 2 and all(r["recall_reranked"] == 1 and r["rr_reranked"] == 1 for r in trial)

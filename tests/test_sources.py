@@ -38,6 +38,18 @@ def test_scan(spark, tree):
     assert {r["file_path"] for r in files.scan(spark, str(tree), languages=["go"]).collect()} == {"sub/other.go"}
 
 
+def test_scan_opens_no_skipped_file(spark, tmp_path):
+    root = tmp_path / "build" / "a b"  # a skipped name above the root, and one that a URI escapes
+    for name in ("x.py", "sub/y.py", "node_modules/deep/z.js", "sub/.tox/w.py", "go.sum"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x = 1\n")
+    found = files.scan(spark, str(root))
+    assert {r["file_path"] for r in found.collect()} == {"x.py", "sub/y.py"}
+    plan = found._jdf.queryExecution().executedPlan()
+    found._jdf.queryExecution().toRdd().count()
+    assert plan.collectLeaves().apply(0).metrics().apply("numFiles").value() == 2
+
+
 def test_revision(tree):
     assert files.revision(str(tree)) is None
     subprocess.run(["git", "-C", str(tree), "init", "-q"], check=True)
@@ -119,6 +131,10 @@ def test_encoder(spark):
 
 class Answers:
     def generate(self, prompt, max_tokens):
+        if "verdict" in prompt:
+            return '{"results": [{"index": 0, "verdict": "SUPPORTED", "reason": ""}, {"index": 1, "verdict": "SUPPORTED", "reason": ""}]}'
+        if "Reference:" in prompt:
+            return '{"grade": "partially_correct", "reason": "half"}'
         if "JSON" in prompt:
             return 'Here: {"claims": [{"text": "It returns one.", "sources": [1], "supported": true, "reason": "r"}, {"text": "It flies.", "sources": [], "supported": true, "reason": ""}]}'
         return "It returns one [1]. See [9]."
@@ -133,6 +149,10 @@ def test_answers_and_evaluation(spark, tree):
     assert row["invalid_citations"] == [9] and row["valid_citations"] == [1] and "keep.py" in row["context"]
     faith = evaluation.faithfulness(got, models, Settings()).first()
     assert faith["n_claims"] == 2 and faith["faithfulness"] == 0.5 and not faith["judge_failed"]
+    two = evaluation.faithfulness(got, models, Settings(single_call_judge=False)).first()
+    assert two["n_claims"] == 2 and two["faithfulness"] == 0.5 and not two["judge_failed"]
+    graded = got.select("query_id", "question", "answer").withColumn("reference", F.lit("one"))
+    assert evaluation.correctness(graded, models).first()["grade"] == "partially_correct"
     questions = spark.createDataFrame([(1, "f return", ["keep.py"]), (2, "package main", ["sub/other.go"])], "query_id long, query string, relevant_files array<string>")
     scores = evaluation.evaluate(questions, index, ["dense", "hybrid", "rerank"])
     assert scores.groupBy("config").agg(F.avg("recall").alias("r")).where("r = 1").count() == 3
