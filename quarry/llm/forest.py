@@ -146,25 +146,26 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width
     links = [staged(_confirmed(best, sets, percent), "links")]
     roots = components(links[0])
 
-    rest = staged(_apart(candidates.join(best, ["a", "b"], "left_anti"), roots), "rest")
+    rest = _apart(candidates.join(best, ["a", "b"], "left_anti"), roots)
     links.append(staged(_confirmed(rest, sets, percent), "links"))
-    drop(rest, best, roots)
+    drop(best, roots)
     roots = components(_all(links))
     rested(spark)
 
-    rest = _within_regions(forest, facts, roots, percent)
+    pairs = _within_regions(forest, facts, roots, percent)
     drop(forest, facts)
     rested(spark)
-    links.append(staged(_confirmed(rest.join(candidates.select("a", "b"), ["a", "b"], "left_anti"), sets, percent), "links"))
-    drop(rest, candidates, sets, roots)
+    rest = _all(pairs).distinct().join(candidates.select("a", "b"), ["a", "b"], "left_anti")
+    links.append(staged(_confirmed(rest, sets, percent), "links"))
+    drop(*pairs, candidates, sets, roots)
     roots = components(_all(links))
     drop(*links)
 
     of_class = staged(classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("same", "first", F.col("component_id").alias("root")), "of_class")
     linked = of_class.where("root IS NOT NULL")
     of_root, _ = bounded(linked.groupBy("root").agg(F.min("first").alias("first")))
-    of_class = staged(linked.select("same", "root").join(of_root, "root").select("same", "first").unionByName(of_class.where("root IS NULL").select("same", "first")), "members")
     drop(classes, roots)
+    of_class = linked.select("same", "root").join(of_root, "root").select("same", "first").unionByName(of_class.where("root IS NULL").select("same", "first"))
     out = described.select("key", "id", "n", F.when(F.col("n") > 0, F.col("same")).alias("same")).join(of_class, "same", "left")
     alone = F.col("first").isNull()
     root = F.when(alone, F.col("id")).otherwise(F.col("first.id"))
@@ -230,30 +231,30 @@ def _shared_at_most(n: str, bits: str, other: str) -> Column:
     return F.col(n) - F.aggregate(missed, F.lit(0), lambda total, k: total + k)
 
 
-def _within_regions(forest: DataFrame, facts: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a region, each region at the least depth at which it is not crowded.
+def _within_regions(forest: DataFrame, facts: DataFrame, roots: DataFrame, percent: int) -> list[DataFrame]:
+    """Pairs of different components that share a region, each region at the least depth at which it is not crowded: a
+    staged table for each depth. A pair may be in several.
 
     Of the members of a region only those outside its largest component are joined with all others, so that one large
     component and a few strangers make few pairs; and only where two bounds of what both have allow a link: by the common
     shingles and the rare ones of both, and by the slots that only one of them has."""
     bounds = [F.least("common", "common_x") + F.size(F.array_intersect("rare", "rare_x")), _shared_at_most("n", "bits", "bits_x"), _shared_at_most("n_x", "bits_x", "bits")]
     able = functools.reduce(lambda a, b: a & b, [(100 + percent) * most >= percent * (F.col("n") + F.col("n_x")) for most in bounds])
-    left = forest.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "tree", "hi", "lo", F.coalesce("component_id", "rep").alias("of"))
+    joined = forest.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "tree", "hi", "lo", F.coalesce("component_id", "rep").alias("of"))
+    left = staged(joined, "regions")
     pairs, deepest = [], _deepest(percent)
     for depth in range(FLOOR, deepest + 1):
-        here = staged(left.withColumn("part", _region(depth)[2]), "region")
-        drop(left)
+        here = left.withColumn("part", _region(depth)[2])
         by_component = here.groupBy("tree", "hi", "part", "of").agg(F.count("*").alias("k"))
         regions = by_component.groupBy("tree", "hi", "part").agg(F.max_by("of", F.struct("k", "of")).alias("largest"), F.sum("k").alias("members"), F.max("k").alias("most")).where("members > most")
         known = staged(here.join(regions, ["tree", "hi", "part"]), "region")
-        drop(here)
+        drop(left)
         open_now = (known if depth == deepest else known.where(F.col("members") - F.col("most") <= CROWDED)).join(facts, "rep")
         strangers = open_now.where("of <> largest").select("tree", "hi", "part", F.col("rep").alias("x"), F.col("of").alias("of_x"), F.col("n").alias("n_x"), F.col("bits").alias("bits_x"), F.col("common").alias("common_x"), F.col("rare").alias("rare_x"))
         met = open_now.join(strangers, ["tree", "hi", "part"]).where((F.col("of") != F.col("of_x")) & able).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
         pairs.append(staged(met, "pairs"))
         if depth < deepest:
+            # written, so that joins know how few they are
             left = staged(known.where(F.col("members") - F.col("most") > CROWDED).select("rep", "tree", "hi", "lo", "of"), "crowded")
         drop(known)
-    out = staged(_all(pairs).distinct(), "pairs")
-    drop(*pairs)
-    return out
+    return pairs

@@ -13,6 +13,7 @@ from helpers import SF
 from test_ops import WORD, docs, jaccard_components, low
 
 import corpus_pipeline
+from quarry import shared
 from quarry.llm import bpe, chat, common, contamination, counts, forest, licenses, neighbours, quality, queries, secrets, substrings
 
 F = pytest.importorskip("pyspark.sql.functions")
@@ -152,6 +153,28 @@ def test_near_duplicates_at_the_threshold(spark):
     assert got == want and want[1][2] == 0
 
 
+def test_crowded_regions_are_written_once(spark, monkeypatch):
+    """One table of regions a depth, and one of the crowded ones for the next; nothing is left behind."""
+    written = []
+    monkeypatch.setattr(forest, "staged", lambda df, name: written.append((name, common.staged(df, name))) or written[-1][1])
+    monkeypatch.setattr(forest, "CROWDED", 3)
+    rng = random.Random(8)
+    texts = []
+    for _ in range(4):
+        base = [word(rng) for _ in range(90)]
+        for _ in range(30):  # groups of copies with more and fewer edits, which share deep regions
+            w = list(base)
+            for _ in range(rng.choice([1, 2, 3, 4])):
+                w[rng.randrange(90)] = word(rng)
+            texts.append(" ".join(w))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in forest.near_duplicates(docs(spark, texts)).collect())
+    assert got == jaccard_components(texts)
+    names = [name for name, _ in written]
+    depths = forest.DEPTH - forest.FLOOR + 1
+    assert [names.count(x) for x in ("regions", "region", "crowded", "pairs")] == [1, depths, depths - 1, depths]
+    assert sorted(name for name, t in written if t._quarry_path in shared._WRITTEN) == ["described", "of_class"]  # the result reads them
+
+
 def test_embeddings_by_rows(spark):
     rows = [(None, [1.0, 0.0]), (5, [1.0, 0.01]), (5, [0.0, 1.0]), (None, [0.0, 1.0]), (9, [0.0, 2.0]), (None, [-1.0, 0.0]), (None, [-1.0, 0.001]), (3, [19.1, float(np.sqrt(39.0))]), (4, None)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("key", F.lit("clash"))
