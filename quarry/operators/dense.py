@@ -3,65 +3,57 @@
 from __future__ import annotations
 
 import copy
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quarry.functions import text as X
+from quarry.functions import tokens as T
+from quarry.operators.best import QUERY_SLICE, Slices, in_blocks, ranked
 
-#: Queries that one pass over the vectors answers; more are answered in further passes.
-QUERY_BLOCK = 4096
-#: Of these as many meet a batch of vectors at once.
-QUERY_SLICE = 256
 
-
-def hashed(chunks: DataFrame, id: str = "id", text: str = "text", dim: int = 64, postings: DataFrame | None = None) -> DataFrame:
+def hashed(chunks: DataFrame, id: str = "id", text: str = "text", dim: int = 64) -> DataFrame:
     """(id, vector): a stand-in for an encoder. Each token adds one to the bucket of its MD5; unit length, or zero for a
-    text without tokens. postings(term, id, tf), if they are there, spare cutting the texts once more."""
-    bucket = (F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long") % dim).cast("int")
-    ids = chunks.select(F.col(id).alias("id"))
-    if postings is None:
-        postings = chunks.select(F.col(id).alias("id"), F.explode(X.code_tokens(text)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    counts = postings.groupBy("id", bucket.alias("b")).agg(F.sum("tf").cast("double").alias("n"))
-    maps = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    value = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i) / F.col("norm"), F.lit(0.0)))
-    return ids.join(maps, "id", "left").select("id", value.alias("vector"))
+    text without tokens. Each text's tokens are counted where it is read; nothing is exchanged."""
+    kind = chunks.schema[id].dataType.simpleString()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in T.slices(batch, "t"):
+                row, code, words = T.tokens(rows.column("t"))
+                bucket = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim for w in words.to_pylist()], np.int64)
+                counts = np.bincount(row * dim + bucket[code], minlength=rows.num_rows * dim).reshape(-1, dim).astype(float)
+                norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+                vector = pa.FixedSizeListArray.from_arrays(pa.array((counts / np.where(norm > 0, norm, 1)).ravel()), dim).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([rows.column("id"), vector], names=["id", "vector"])
 
+    return chunks.select(F.col(id).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(encode, f"id {kind}, vector array<double>")
 
-def _ranked(scored: DataFrame, n: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ordinal"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= n).select("query_id", "id", "score", "rank")
+
+def _vectors(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+
+
+def _own(df: DataFrame, id: str, vector: str) -> DataFrame:
+    return df.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
 
 
 def _in_blocks(queries: DataFrame, corpus: DataFrame, schema: str, visit: Callable[[list, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """visit(block of query rows, batches of corpus), by a pass over the corpus for each block of queries."""
-    out, block = None, []
 
     def pass_over(block: list) -> DataFrame:
         shared = corpus.sparkSession.sparkContext.broadcast(block)
         return corpus.mapInArrow(lambda batches: visit(shared.value, batches), schema)
 
-    for r in queries.toLocalIterator():
-        block.append(tuple(r))
-        if len(block) == QUERY_BLOCK:
-            found = pass_over(block)
-            out, block = found if out is None else out.unionByName(found), []
-    if block:
-        found = pass_over(block)
-        out = found if out is None else out.unionByName(found)
-    return corpus.sparkSession.createDataFrame([], schema) if out is None else out
+    return in_blocks(queries, corpus.sparkSession.createDataFrame([], schema), pass_over)
 
 
-def _vectors(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
-
-
-def _own(df: DataFrame, id: str, vector: str) -> DataFrame:
-    return df.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+def _with_ordinal(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("id")], names=["id", "ordinal"])
 
 
 def search(queries: DataFrame, corpus: DataFrame, n: int = 40, query_id: str = "query_id", query_vector: str = "vector", id: str = "id", vector: str = "vector") -> DataFrame:
@@ -69,35 +61,20 @@ def search(queries: DataFrame, corpus: DataFrame, n: int = 40, query_id: str = "
 
     Blocks of queries go to the tasks, which keep the n best of all they read; so the vectors are not shuffled, and what
     is grows with queries times tasks, not with vectors."""
-    q_type, id_type = queries.schema[query_id].dataType, corpus.schema[id].dataType
-    kinds = to_arrow_type(q_type), to_arrow_type(id_type)
+    q_type, id_type = queries.schema[query_id].dataType, corpus.schema[id].dataType.simpleString()
+    kind = to_arrow_type(q_type)
 
     def best(block: list, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, matrix = [r[0] for r in block], np.array([r[1] for r in block])
-        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        matrix, kept = np.array([r[1] for r in block]), Slices([r[0] for r in block], n)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, x = np.array(batch.column("id").to_pylist()), _vectors(batch)
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], x[order]
-            for at in range(0, len(keys), QUERY_SLICE):
-                scores = np.round(matrix[at : at + QUERY_SLICE] @ x.T, 9)
-                first = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-                found, scores = ids[first], np.take_along_axis(scores, first, 1)
-                if at in kept:
-                    found, scores = np.concatenate([kept[at][0], found], 1), np.concatenate([kept[at][1], scores], 1)
-                    first = np.lexsort((found, -scores), axis=1)[:, :n]
-                    found, scores = np.take_along_axis(found, first, 1), np.take_along_axis(scores, first, 1)
-                kept[at] = found, scores
-        for at, (found, scores) in kept.items():
-            each = np.repeat(np.arange(at, at + len(found)), found.shape[1])
-            columns = [pa.array([keys[i] for i in each], kinds[0]), pa.array(found.ravel().tolist(), kinds[1]), pa.array(scores.ravel())]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "score"])
+            if batch.num_rows:
+                x, rows = _vectors(batch), _with_ordinal(batch)
+                for first, last, own in kept:
+                    own.add(np.round(matrix[first:last] @ x.T, 9), rows)
+        yield from kept.batches(kind)
 
     asked = queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    out = _in_blocks(asked, _own(corpus, id, vector), f"query_id {q_type.simpleString()}, id {id_type.simpleString()}, score double", best)
-    return _ranked(out.withColumn("ordinal", F.col("id")), n)
+    return ranked(_in_blocks(asked, _own(corpus, id, vector), f"query_id {q_type.simpleString()}, id {id_type}, ordinal {id_type}, score double", best), n)
 
 
 def gold_ranks(queries: DataFrame, corpus: DataFrame, query_id: str, query_vector: str, gold: str, id: str, vector: str) -> DataFrame:
@@ -192,21 +169,37 @@ class InvertedFile:
         return out
 
     def search(self, queries: DataFrame, n: int = 10, probes: int = 16, query_id: str = "query_id", query_vector: str = "vector") -> DataFrame:
-        """(query_id, id, score, rank) from each query's nearest lists."""
-        shared, kind = self.filed.sparkSession.sparkContext.broadcast(self.centers), queries.schema[query_id].dataType.simpleString()
-
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    v = batch.column("qv").flatten().to_numpy().reshape(batch.num_rows, -1)
-                    near = np.argsort(-(v @ shared.value.T), axis=1, kind="stable")[:, :probes]
-                    at = np.repeat(np.arange(batch.num_rows), near.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), batch.column("query_id").take(pa.array(at)), batch.column("qv").take(pa.array(at))], names=["list", "query_id", "qv"])
+        """(query_id, id, score, rank) from each query's nearest lists. Blocks of queries go to the tasks, which multiply
+        the vectors of each list with the queries that look at it and keep the n best of all they read."""
+        q_type = queries.schema[query_id].dataType
+        kind, centers = to_arrow_type(q_type), self.centers
+
+        def pass_over(block: list) -> DataFrame:
+            matrix = np.array([r[1] for r in block])
+            looks = np.zeros((len(block), len(centers)), bool)
+            np.put_along_axis(looks, np.argsort(-(matrix @ centers.T), axis=1, kind="stable")[:, :probes], True, 1)
+            shared = self.filed.sparkSession.sparkContext.broadcast(([r[0] for r in block], matrix, looks))
+
+            def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                keys, matrix, looks = shared.value
+                kept = Slices(keys, n)
+                for batch in batches:
+                    by = np.argsort(batch.column("list").to_numpy(), kind="stable")
+                    batch = batch.take(pa.array(by))
+                    lists, starts = np.unique(batch.column("list").to_numpy(), return_index=True)
+                    for which, at, to in zip(lists, starts, [*starts[1:], batch.num_rows]):
+                        x, rows = _vectors(here := batch.slice(at, to - at)), _with_ordinal(here)
+                        for first, last, own in kept:
+                            asked = np.flatnonzero(looks[first:last, which])
+                            own.add(np.round(matrix[first + asked] @ x.T, 9), rows, which=asked)
+                yield from kept.batches(kind)
+
+            read = self.filed.where(F.col("list").isin([int(i) for i in np.flatnonzero(looks.any(axis=0))]))
+            return read.mapInArrow(best, f"query_id {q_type.simpleString()}, id {self.id_type}, ordinal {self.id_type}, score double")
 
         own = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("qv")).where("qv IS NOT NULL")
-        probed = own.mapInArrow(probe, f"list int, query_id {kind}, qv array<double>")
-        scored = probed.join(self.filed, "list").select("query_id", "id", F.round(X.dot("qv", "v"), 9).alias("score"))
-        return _ranked(scored.withColumn("ordinal", F.col("id")), n)
+        none = self.filed.sparkSession.createDataFrame([], f"query_id {q_type.simpleString()}, id {self.id_type}, ordinal {self.id_type}, score double")
+        return ranked(in_blocks(own, none, pass_over), n)
 
 
 def added(corpus: DataFrame, more: DataFrame, id: str = "id") -> DataFrame:

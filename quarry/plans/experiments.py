@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry import plugins
 from quarry.functions import text as X
-from quarry.operators import fuse, metrics
+from quarry.operators import fuse, lexical, metrics
 from quarry.plans import retrieval
 from quarry.settings import Settings
 from quarry.shared import staged
@@ -29,8 +29,7 @@ MOST_PARTS = 3
 
 def symbol_df(chunks: DataFrame) -> DataFrame:
     """(term, df): the number of chunks in whose symbol_name each token occurs; chunks without a symbol do not count."""
-    terms = chunks.where("symbol_name IS NOT NULL").select("id", F.explode(X.code_tokens("symbol_name")).alias("t"))
-    return terms.select("id", F.lower("t").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("df"))
+    return lexical.counts(chunks.where("symbol_name IS NOT NULL"), "id", "symbol_name").select("term", "df")
 
 
 def names_rare_symbol(queries: DataFrame, df: DataFrame) -> DataFrame:

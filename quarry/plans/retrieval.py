@@ -12,6 +12,7 @@ from quarry import plugins
 from quarry.functions import text as X
 from quarry.operators import dense, fuse, graph, lexical
 from quarry.settings import Settings
+from quarry.shared import staged
 
 
 @dataclass(frozen=True)
@@ -21,7 +22,7 @@ class Index:
 
     chunks: DataFrame
     vectors: DataFrame | None = None
-    postings: lexical.Postings | None = None
+    postings: lexical.Postings | lexical.Texts | None = None
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
     inverted: dense.InvertedFile | None = None
@@ -36,10 +37,11 @@ class Models:
     llm: Callable[[], object] | None = None
 
 
-def build_index(chunks: DataFrame, settings: Settings = Settings(), models: Models = Models(), nodes: DataFrame | None = None, edges: DataFrame | None = None) -> Index:
-    postings = lexical.index(chunks, "id", "embed_text")
+def build_index(chunks: DataFrame, settings: Settings = Settings(), models: Models = Models(), nodes: DataFrame | None = None, edges: DataFrame | None = None, once: bool = False) -> Index:
+    """once: for a single batch of queries; texts are searched as they are, and no postings are written."""
+    postings = (lexical.texts if once else lexical.index)(chunks, "id", "embed_text")
     if models.encoder is None:
-        vectors = dense.hashed(chunks, "id", "embed_text", settings.embed_dim, postings.postings)
+        vectors = dense.hashed(chunks, "id", "embed_text", settings.embed_dim)
     else:
         prefix = X.prefixes(settings.embed_model)[1] if settings.embed_doc_prefix is None else settings.embed_doc_prefix
         vectors = plugins.embed(chunks.select("id", "embed_text"), models.encoder, prefix=prefix, batch=settings.embed_batch).select("id", "vector")
@@ -97,13 +99,15 @@ def retrieve(queries: DataFrame, index: Index, settings: Settings = Settings(),
     a reranker (with boost and diversity if asked for), connectivity, or the fused rank."""
     s = settings
     k = k or s.final_k
-    pool = fused(queries, index, s, models, use_dense, use_bm25).withColumn("relation", F.lit(None).cast("string"))
+    # a few dozen rows a query, read more than once below
+    pool = found = staged(fused(queries, index, s, models, use_dense, use_bm25), "pool").withColumn("relation", F.lit(None).cast("string"))
     if s.expand_graph and s.graph_prererank_pool and index.edges is not None:
         pool = _appended(pool, graph.pool_neighbours(pool, index.edges, index.nodes, s.graph_expand_seeds, s.graph_expand_depth, s.graph_pool_budget))
     if s.graph_pagerank and index.edges is not None:
         ppr = graph.pagerank(pool.where(F.col("rank") <= s.graph_pagerank_seeds), index.edges, index.nodes)
         pool = _appended(pool, graph.pool_pagerank(pool, ppr, s.graph_pagerank_add))
-    pool = pool.join(index.chunks.select("id"), "id", "left_semi").select("query_id", "id", "rank", "relation")
+    if pool is not found:  # nodes of the graph need not be chunks
+        pool = pool.join(index.chunks.select("id"), "id", "left_semi").select("query_id", "id", "rank", "relation")
     if s.llm_rerank:
         order = _llm_order(pool, queries, index, models, s)
         ranked = fuse.with_scores(order)
