@@ -212,10 +212,11 @@ def pool_pagerank(ranked: DataFrame, ppr: DataFrame, add: int = 8) -> DataFrame:
 
 def boosted(ranked: DataFrame, edges: DataFrame, boost: float) -> DataFrame:
     """(query_id, id, score, rank): scores plus boost times the positive scores of neighbours in the same list."""
-    pairs = adjacency(edges).select("a", "b").where("a <> b").distinct()
-    gain = ranked.join(pairs, F.col("id") == F.col("a")).select("query_id", "id", F.col("b").alias("other"))
     own = ranked.select("query_id", F.col("id").alias("other"), F.greatest("score", F.lit(0.0)).alias("s"))
-    gain = gain.join(own, ["query_id", "other"]).groupBy("query_id", "id").agg(F.sum("s").alias("gain"))
+    # the pairs of a list, which is a bounded pool, look up edges by both ends: a node of any degree is many keys
+    pairs = ranked.select("query_id", "id").join(own, "query_id").where("id <> other")
+    linked = adjacency(edges).select(F.col("a").alias("id"), F.col("b").alias("other"))
+    gain = pairs.join(linked, ["id", "other"], "left_semi").groupBy("query_id", "id").agg(F.sum("s").alias("gain"))
     out = ranked.join(gain, ["query_id", "id"], "left").withColumn("score", F.round(F.col("score") + boost * F.coalesce("gain", F.lit(0.0)), 9))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rank"))).select("query_id", "id", "score", "rank")
 

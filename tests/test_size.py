@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quarry.functions import text as X
-from quarry.operators import dense, lexical
+from quarry.operators import dense, graph, lexical, metrics
 
 
 def exchanged(spark, act) -> int:
@@ -87,3 +87,21 @@ def test_hashed_vectors_without_exchange(spark):
 def test_fused_queries_match_their_sql(spark):
     for name in ("rrf_adaptive", "hybrid_search", "tok_code_tokens"):
         assert same(entry.queries()[name](spark, SF), entry.oracle_sql()[name], SF)
+
+
+def test_boost_by_hub(spark):
+    edges = spark.range(5000).select(F.lit("hub").alias("src"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("dst"), F.lit("calls").alias("type"), F.col("id").alias("seq"))
+    edges = edges.unionByName(edges.where("seq < 3")).unionByName(spark.createDataFrame([("n1", "n1", "calls", 1)], edges.schema))
+    ranked = spark.createDataFrame([(q, x, i, s) for q in (1, 2) for i, (x, s) in enumerate([("n1", 3.0), ("hub", 1.0), ("n2", -1.0), ("other", 2.0)], 1)], "query_id int, id string, rank int, score double")
+    for q in (1, 2):
+        got = [(r["id"], r["score"]) for r in graph.boosted(ranked, edges, 0.5).orderBy("rank").collect() if r["query_id"] == q]
+        assert got == [("n1", 3.5), ("hub", 2.5), ("other", 2.0), ("n2", -0.5)]
+
+
+def test_graph_boost_makes_no_pairs_of_a_nation(spark, tmp_path):
+    s = spark.read.parquet(f"{SF}/supplier.parquet")
+    many = s.crossJoin(spark.range(3000 // s.count() + 1).withColumnRenamed("id", "k")).withColumn("s_suppkey", F.col("s_suppkey") + 100_000 * F.col("k")).drop("k")
+    many.write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.read.parquet(f"{SF}/nation.parquet").write.parquet(str(tmp_path / "nation.parquet"))
+    n = exchanged(spark, lambda: entry.queries()["graph_boost"](spark, str(tmp_path)).collect())
+    assert n < 20_000, n  # 3000 suppliers of 25 nations are some 180,000 pairs
