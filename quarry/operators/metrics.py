@@ -20,14 +20,30 @@ def retrieval(ranked: DataFrame, relevant: DataFrame, k: int, mrr_k: int | None
     rank). Recall and gain count a relevant item once; precision divides by k; the reciprocal rank looks at the whole
     list unless mrr_k bounds it."""
     wanted = relevant.select("query_id", "item").distinct()
-    hits = ranked.join(wanted, ["query_id", "item"], "left_semi").groupBy("query_id", "item").agg(F.min("rank").alias("rank"))
+    return _rated(ranked.join(wanted, ["query_id", "item"], "left_semi"), wanted.groupBy("query_id").agg(F.count("*").alias("n")), k, mrr_k)
+
+
+def retrieval_by_class(ranked: DataFrame, queries: DataFrame, items: DataFrame, k: int, mrr_k: int | None = None) -> DataFrame:
+    """The same where the items of a query's class are relevant to it, save the one that is the query itself:
+    queries(query_id, class) and items(item, class), ids being unique. Classes are counted and the ranked items looked
+    up, so no pairs of queries and items are made."""
+    asked, own = queries.select("query_id", F.col("class").alias("wanted")), items.select("item", "class")
+    sizes = own.groupBy("class").agg(F.count("*").alias("n"))
+    itself = own.select(F.col("item").alias("query_id"), "class")
+    sizes = asked.join(sizes, F.col("wanted") == F.col("class")).drop("class").join(itself, "query_id", "left")
+    sizes = sizes.select("query_id", (F.col("n") - F.coalesce((F.col("wanted") == F.col("class")).cast("int"), F.lit(0))).alias("n")).where("n > 0")
+    hits = ranked.where("query_id <> item").join(own, "item").join(asked, "query_id").where(F.col("wanted") == F.col("class"))
+    return _rated(hits, sizes, k, mrr_k)
+
+
+def _rated(hits: DataFrame, sizes: DataFrame, k: int, mrr_k: int | None) -> DataFrame:
+    hits = hits.groupBy("query_id", "item").agg(F.min("rank").alias("rank"))
     inside = F.col("rank") <= k
     found = hits.groupBy("query_id").agg(
         F.count(F.when(inside, 1)).alias("hit"),
         F.min(F.when(F.col("rank") <= mrr_k, F.col("rank")) if mrr_k else "rank").alias("first"),
         F.sum(F.when(inside, 1 / F.log2(F.col("rank") + 1.0))).alias("gain"),
     )
-    sizes = wanted.groupBy("query_id").agg(F.count("*").alias("n"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     return sizes.join(found, "query_id", "left").select(

@@ -89,6 +89,27 @@ def test_fused_queries_match_their_sql(spark):
         assert same(entry.queries()[name](spark, SF), entry.oracle_sql()[name], SF)
 
 
+def test_metrics_by_class(spark):
+    rng = np.random.default_rng(5)
+    labels = [(i, int(rng.integers(0, 3))) for i in range(600)] + [(600, 7), (601, None)]
+    items = spark.createDataFrame(labels, "item int, class int").repartition(2)
+    queries = items.where("item % 20 = 0 OR item = 601").withColumnRenamed("item", "query_id")
+    ranked = spark.createDataFrame([(q, int(i), r) for q in range(0, 610, 20) for r, i in enumerate(rng.permutation(602)[:10], 1)], "query_id int, item int, rank int")
+    relevant = queries.withColumnRenamed("class", "c").join(items, (F.col("c") == F.col("class")) & (F.col("query_id") != F.col("item")))
+    want, got = sorted(map(tuple, metrics.retrieval(ranked, relevant, 5).collect())), []
+    n = exchanged(spark, lambda: got.extend(map(tuple, metrics.retrieval_by_class(ranked, queries, items, 5).collect())))
+    assert sorted(got) == want and len(want) == 30
+    assert n < 4_000, n  # each of 30 queries has some 200 relevant items
+
+
+def test_scored_queries_make_no_pairs(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, (v / np.linalg.norm(v)).tolist(), i % 2) for i, v in enumerate(rng.standard_normal((4000, 8)))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    n = exchanged(spark, lambda: entry.queries()["eval_task_summary"](spark, str(tmp_path)).collect())
+    assert n < 40_000, n  # 40 queries with 2000 relevant vectors each are 80,000 pairs
+
+
 def test_boost_by_hub(spark):
     edges = spark.range(5000).select(F.lit("hub").alias("src"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("dst"), F.lit("calls").alias("type"), F.col("id").alias("seq"))
     edges = edges.unionByName(edges.where("seq < 3")).unionByName(spark.createDataFrame([("n1", "n1", "calls", 1)], edges.schema))
