@@ -126,3 +126,14 @@ def test_graph_boost_makes_no_pairs_of_a_nation(spark, tmp_path):
     spark.read.parquet(f"{SF}/nation.parquet").write.parquet(str(tmp_path / "nation.parquet"))
     n = exchanged(spark, lambda: entry.queries()["graph_boost"](spark, str(tmp_path)).collect())
     assert n < 20_000, n  # 3000 suppliers of 25 nations are some 180,000 pairs
+
+
+def test_inverted_file_exchanges_no_vectors(spark):
+    rng = np.random.default_rng(7)
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((2000, 8)))], "id int, vector array<double>").repartition(2).cache()
+    corpus.count()
+    file, q = dense.InvertedFile(corpus, 8), corpus.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    want = sorted(map(tuple, dense.search(q, corpus, 5).collect()))
+    got = []
+    n = exchanged(spark, lambda: got.extend(map(tuple, file.search(q, 5, 8).collect())))
+    assert sorted(got) == want and n < 1_600, n  # with all lists probed it is exact; 100 queries, 5 each, of some tasks
